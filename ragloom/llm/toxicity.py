@@ -108,7 +108,10 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
     # Toxic documents are rare: they are drawn first for half of the sample, and clean ones fill it up.
     drawn = told.withColumn("h", F.xxhash64("doc_id"))
     drawn = drawn.where("toxic = 1").orderBy("h", "doc_id").limit(sample // 2).unionByName(drawn.where("toxic = 0").orderBy("h", "doc_id").limit(sample // 2))
-    rows = keyed(docs).join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").select("text", "toxic")
+    rows = keyed(docs).join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id")
+    # Copies would bring up the rare words of one document: of texts with the same longest word one is counted.
+    longest = F.array_max(F.transform(F.split("text", r"[^\p{L}]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    rows = rows.groupBy(longest.alias("longest"), "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter[str] = Counter()
@@ -125,7 +128,6 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
     counted = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     good = counted.where("toxic >= 8 and 50 * clean <= toxic or term = ''").select("term", "toxic").collect()  # terms of a bounded sample
     found = {r["term"]: r["toxic"] for r in good}
-    # Copies of one document bring its rare words up together: a term must be in one of 100 toxic documents too.
     least = found.pop("", 0) / 100
     return LEXICON | chosen({t: n for t, n in found.items() if n >= least})
 
