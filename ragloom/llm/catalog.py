@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import minhash, toxicity
+from ragloom.llm import linededup, minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_line_dedup": linededup.SQL,
+    }
