@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import linededup, minhash, toxicity
+from ragloom.llm import decontam, linededup, minhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": linededup.op1_line_dedup,
+        "op2_benchmark_decontamination": decontam.op2_benchmark_decontamination,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
     }
@@ -20,4 +21,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.SQL,
+        "op2_benchmark_decontamination": decontam.SQL,
     }
