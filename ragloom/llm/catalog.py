@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import decontam, linededup, minhash, toxicity
+from ragloom.llm import chat, decontam, linededup, minhash, neardup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_benchmark_decontamination": decontam.op2_benchmark_decontamination,
+        "op3_embedding_near_dedup": neardup.op3_embedding_near_dedup,
+        "op4_chat_formatting": chat.op4_chat_formatting,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
     }
@@ -22,4 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.SQL,
         "op2_benchmark_decontamination": decontam.SQL,
+        "op3_embedding_near_dedup": neardup.SQL,
+        "op4_chat_formatting": chat.SQL,
     }
