@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import chat, decontam, linededup, minhash, neardup, toxicity
+from ragloom.llm import chat, decontam, linededup, lm, minhash, neardup, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_benchmark_decontamination": decontam.op2_benchmark_decontamination,
         "op3_embedding_near_dedup": neardup.op3_embedding_near_dedup,
         "op4_chat_formatting": chat.op4_chat_formatting,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+        "op9_lm_scoring": lm.op9_lm_scoring,
         "op7_toxicity": toxicity.op7_toxicity,
     }
 
