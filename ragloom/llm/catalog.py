@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import chat, decontam, linededup, lm, minhash, neardup, packing, toxicity
+from ragloom.llm import chat, decontam, linededup, lm, minhash, neardup, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+        "op8_secret_scan": secrets.op8_secret_scan,
         "op9_lm_scoring": lm.op9_lm_scoring,
         "op7_toxicity": toxicity.op7_toxicity,
     }
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": decontam.SQL,
         "op3_embedding_near_dedup": neardup.SQL,
         "op4_chat_formatting": chat.SQL,
+        "op8_secret_scan": secrets.SQL,
     }
