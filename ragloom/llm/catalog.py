@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import chat, decontam, linededup, lm, minhash, neardup, packing, secrets, toxicity
+from ragloom.llm import chat, decontam, linededup, lm, minhash, neardup, packing, rans, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_lm_scoring": lm.op9_lm_scoring,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op10_token_blocks": rans.op10_token_blocks,
     }
 
 
