@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from ragloom.llm import chat, decontam, linededup, lm, minhash, neardup, packing, rans, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_benchmark_decontamination": decontam.op2_benchmark_decontamination,
         "op3_embedding_near_dedup": neardup.op3_embedding_near_dedup,
