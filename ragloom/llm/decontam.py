@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -147,16 +148,35 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans are cut out of texts; every row stays."""
-    spans = contamination(docs, items_of(spark, sf_dir)).distinct().groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.array_sort(F.collect_list(F.struct("begin_char", "end_char"))).alias("__spans"))
-    joined = docs.join(spans, (docs["doc_id"] == spans["__id"]) & (F.xxhash64(docs["text"]) == spans["__th"]), "left")
-    # What stays: from the end of each span (or the text's beginning) to the begin of the next (or the text's end).
-    opens = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end_char"]))
-    shuts = F.concat(F.transform("__spans", lambda s: s["begin_char"]), F.array(F.length("text").cast("long")))
-    pieces = F.zip_with(opens, shuts, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    edited = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")))
+    """Spans are cut out of texts; every row stays.
+
+    Each text is decided by itself, so nothing is shuffled.
+    """
+    items = items_of(spark, sf_dir)
+
+    @F.pandas_udf("string")
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        phrases = Phrases(items, PHRASE, LEAST)
+        for texts in batches:
+            out = texts.tolist()
+            held = [i for i, t in enumerate(out) if t is not None]
+            whole = pa.array([out[i] for i in held], pa.large_string())
+            _, offsets = buffers(whole)
+            for lo, hi in slices(offsets, SHARD_BYTES):
+                at, first, end = occurrences(whole.slice(lo, hi - lo), phrases)
+                for k in np.unique(at):
+                    text = out[held[lo + k]]
+                    ranges = [m.span() for m in _WORDS.finditer(text)]
+                    kept, begin = [], 0
+                    for a, b in zip(first[at == k], end[at == k], strict=True):
+                        kept.append(text[begin : ranges[a][0]])
+                        begin = ranges[b - 1][1]
+                    out[held[lo + k]] = "".join(kept) + text[begin:]
+            yield pd.Series(out, dtype=object)
+
+    edited = docs.withColumn("text", cleaned(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
-        edited = edited.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        edited = edited.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return edited.select(*docs.columns)
 
 

@@ -141,7 +141,8 @@ from gone join kept k using (doc_id) group by doc_id
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that go; a document of which nothing stays is a copy and goes. Other rows stay as they are."""
     gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
+    # One strategy at every size: texts are shuffled once, by key, and meet the hashed places without a sort.
+    joined = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without("text", "__gone"))
     edited = joined.withColumn("text", text).where(F.col("__gone").isNull() | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:

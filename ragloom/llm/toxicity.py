@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,13 @@ class Matcher:
         return sorted((at, *hit) for at, hit in found.items() if not any(lo <= at <= hi for lo, hi in spared))
 
 
+def rate(matcher: Matcher, text: str) -> tuple[int, list[tuple[int, float, str]], float]:
+    """Words, matches and score of a text."""
+    n = len(text.split())
+    hits = matcher.matches(fold(text)) if n else []
+    return n, hits, round(100 * sum(h[1] for h in hits) / n, 6) if n else 0.0
+
+
 def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """The fixed lexicon and what the labelled sample adds."""
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -160,10 +168,9 @@ def scored(docs: DataFrame, lexicon: dict[str, float], exceptions: Iterable[str]
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                n = len(text.split())
+                n, hits, score = rate(matcher, text)
                 if n:
-                    hits = matcher.matches(fold(text))
-                    out.append((doc_id, n, len(hits), round(100 * sum(h[1] for h in hits) / n, 6), sorted({h[2] for h in hits})))
+                    out.append((doc_id, n, len(hits), score, sorted({h[2] for h in hits})))
             columns = zip(*out, strict=True) if out else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n_words", "n_hits", "score", "terms"])
@@ -182,6 +189,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that reach the threshold go, every other row stays as it is."""
-    gone = toxic_documents(docs, fitted(spark, docs, table(spark, sf_dir, "labels"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """Documents that reach the threshold go, every other row stays as it is.
+
+    Each row is decided by itself, so nothing is shuffled.
+    """
+    lexicon = fitted(spark, docs, table(spark, sf_dir, "labels"))
+
+    @F.pandas_udf("boolean")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(lexicon)
+        for texts in batches:
+            yield texts.map(lambda t: t is not None and rate(matcher, t)[2] >= THRESHOLD).astype(bool)
+
+    return docs.where(~toxic(F.col("text").cast("string")))
