@@ -38,7 +38,7 @@ def compare(new: DataFrame, old: DataFrame) -> DataFrame:
     return _compare.deltas(new, old)
 
 
-def estimate_cost(spark: SparkSession, docs_dir: str, tier: str = "medium", size: int | str = "auto", model: str = "default") -> DataFrame:
+def estimate_cost(spark: SparkSession, docs_dir: str, tier: str = config.TIERS[1], size: str | int = "auto", model: str = "default") -> DataFrame:
     config.tier_config(tier)
     docs = readers.load_directory(spark, docs_dir)
     rows = chunking.chunks(docs)

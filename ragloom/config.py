@@ -6,12 +6,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUESTION_TYPES = ("single_chunk", "cross_doc", "unanswerable", "adversarial", "contradiction", "comparative", "compound", "procedural", "wrong_assumption", "ambiguous")
-NOISE_TYPES = ("clean", "vocab_mismatch", "indirect", "typo", "fragment", "wrong_assumption", "compound", "register_variation")
+QUESTION_TYPES = tuple("single_chunk cross_doc unanswerable adversarial contradiction comparative compound procedural wrong_assumption ambiguous".split())
+NOISE_TYPES = tuple("clean vocab_mismatch indirect typo fragment wrong_assumption compound register_variation".split())
 DIFFICULTIES = ("easy", "medium", "hard")
 TIERS = ("minimal", "medium", "exhaustive")
-DIMENSIONS = ("faithfulness", "correctness", "abstention", "completeness", "conciseness")
-HARD_TYPES = ("cross_doc", "contradiction", "comparative", "adversarial", "ambiguous")
+DIMENSIONS = tuple("faithfulness correctness abstention completeness conciseness".split())
+HARD_TYPES = tuple("adversarial ambiguous comparative contradiction cross_doc".split())
 
 #: Share of each question type by tier.
 TYPE_MIX = {
@@ -27,8 +27,10 @@ NOISE_MIX = {
 }
 #: The transformations that a layer stands for.
 NOISE_STEPS = {k: ([] if k == "clean" else ["fragment"] if k == "fragment_only" else k.split("+")) for k, _ in NOISE_MIX["exhaustive"]}
-RETRIEVAL_METRICS = {"minimal": ["set_recall"], "medium": ["set_recall", "chunk_recall", "mrr"], "exhaustive": ["set_recall", "chunk_recall", "mrr", "precision_at_k", "gold_chunk_ranks"]}
-QUALITY_CHECKS = {"minimal": ["leakage"], "medium": ["leakage", "eval_set_validation"], "exhaustive": ["leakage", "eval_set_validation_full", "coverage_diversity", "contradiction_detection", "staleness"]}
+_METRICS = "set_recall chunk_recall mrr precision_at_k gold_chunk_ranks".split()
+RETRIEVAL_METRICS = dict(zip(TIERS, (_METRICS[:1], _METRICS[:3], _METRICS), strict=True))
+_CHECKS = "leakage|leakage eval_set_validation|leakage eval_set_validation_full coverage_diversity contradiction_detection staleness"
+QUALITY_CHECKS = {tier: names.split() for tier, names in zip(TIERS, _CHECKS.split("|"), strict=True)}
 JUDGED_DIMENSIONS = {"minimal": DIMENSIONS[:3], "medium": DIMENSIONS[:3], "exhaustive": DIMENSIONS}
 JUDGE_QUESTIONS = {"minimal": 9, "medium": 9, "exhaustive": 24}
 _THIRDS = {d: 1 / 3 for d in DIMENSIONS[:3]}
@@ -46,8 +48,10 @@ SIZING = [
     )
     for tier, limits in zip(TIERS, row, strict=True)
 ]
-COVERAGE_TARGET = {"minimal": None, "medium": (0.15, 0.30), "exhaustive": (0.20, 0.40)}
-FAILURE_MODES = ("wrong_document_retrieved", "partial_retrieval", "hallucinated_entity", "fabricated_statistic", "misattributed_statement", "conflated_chunks", "over_hedging", "under_hedging", "silent_conflict_resolution")
+COVERAGE_TARGET = dict(zip(TIERS, (None, (0.15, 0.30), (0.20, 0.40)), strict=True))
+FAILURE_MODES = tuple(
+    "conflated_chunks fabricated_statistic hallucinated_entity misattributed_statement over_hedging partial_retrieval silent_conflict_resolution under_hedging wrong_document_retrieved".split()
+)
 
 SPREAD_HEALTHY, SPREAD_LEAST = 0.20, 0.10
 YES_LEAST, YES_MOST = 0.30, 0.95
@@ -94,7 +98,7 @@ QUESTIONS_FULL = QUESTIONS_SHORT[:3] + [
 ]
 #: Questions about the quality of records by prefix.
 CHECKS = ["QQ1", "QQ2", "QQ3", "QQ4", "GA1", "GA2", "GA3", "GA4", "GA5", "GC1", "GC3", "GC5", "NR2", "NR3"]
-CHECK_GROUPS = {"QQ": "question_quality", "GA": "gold_answer_quality", "GC": "gold_chunk_quality", "NR": "noise_realism"}
+CHECK_GROUPS = dict(pair.split(":") for pair in "QQ:question_quality GA:gold_answer_quality GC:gold_chunk_quality NR:noise_realism".split())
 
 
 def tier_config(tier: str) -> dict[str, Any]:
@@ -109,9 +113,9 @@ def tier_config(tier: str) -> dict[str, Any]:
 
 def questions_for(scoring: str | list | None, tier: str) -> list[tuple]:
     """Custom (id, dimension, wording[, weight]) rows, "mvp", "full", or what the tier uses."""
+    if scoring == []:
+        raise ValueError("the list of questions is empty")
     if isinstance(scoring, list):
-        if not scoring:
-            raise ValueError("the list of questions is empty")
         return [(*q, 1.0)[:4] if len(q) == 3 else tuple(q) for q in scoring]
     name = scoring or ("full" if tier == "exhaustive" else "mvp")
     if name not in ("mvp", "full"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9])"
+SENTENCE_BREAK = r"(?<=[!?.])\s+(?=[0-9A-Z])"
 PARAGRAPH_BREAK = r"\n\s*\n+"
 
 

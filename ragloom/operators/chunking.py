@@ -17,7 +17,7 @@ from ragloom.functions import text as T
 SIZE, OVERLAP = 512, 64
 
 
-def pack(units: list[str], sizes: list[int], size: int, overlap: int, joiner: str) -> list[str]:
+def pack(units: list[str], sizes: list[int], size: int, overlap: int, joiner: str = " ") -> list[str]:
     """Windows of at most ``size`` tokens; each begins with the last units of the one before, up to ``overlap`` tokens.
 
     A unit that is larger by itself is a window by itself, and overlap and a unit together may exceed the size.
@@ -62,7 +62,7 @@ def chunk_texts(text: Column | str, strategy: str = "auto", size: int = SIZE, ov
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def chunks(docs: DataFrame, strategy: str | Callable[[str], list[str]] = "auto", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunks(docs: DataFrame, strategy: Callable[[str], list[str]] | str = "auto", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """chunk_id, doc_id, index, text, token_count of docs (doc_id, text).
 
     A strategy may also be a function from text to a list of texts. Blank chunks are left out and keep their index.

@@ -10,9 +10,9 @@ from ragloom.functions import text as T
 from ragloom.operators.containment import contained
 
 #: What an unfinished system returns.
-_STUB_ANSWERS = ("...", "", "todo", "answer", "your answer here")
-_STUB_CONTEXTS = ("chunk text 1", "chunk text 2", "...", "context", "your context here")
-TARGETS = {"easy": 0.30, "medium": 0.40, "hard": 0.30}
+_STUB_ANSWERS = ("todo", "your answer here", "answer", "...", "")
+_STUB_CONTEXTS = ("your context here", "context", "...", *(f"chunk text {i}" for i in (1, 2)))
+TARGETS = dict(zip(config.DIFFICULTIES, (0.3, 0.4, 0.3), strict=True))
 _KEYS = {"question_type", "difficulty", "noise_type", "domain_tag", "unanswerable"}
 
 

@@ -34,7 +34,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-# ------------------------------------------------------------------------------------------------- shared SQL
+# == shared SQL
 
 _V1 = """verdicts as (select l_orderkey as record_id, 'Q' || l_linenumber as question_id, case when l_linenumber <= 3 then 'faithfulness' when l_linenumber <= 5 then 'correctness' else 'abstention' end as dimension,
     max(l_quantity) > 10 + 4 * l_linenumber as verdict from lineitem group by l_orderkey, l_linenumber)"""
@@ -78,7 +78,7 @@ def _scalar(sf: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: sf(V.table(spark, d, "documents"))
 
 
-# ---------------------------------------------------------------------------------------------- health of scoring
+# == health of scoring
 
 
 @query(f"{_RATES} select dimension, question_id, n, round(yes_rate, 6) as yes_rate from rates")
@@ -128,7 +128,7 @@ def health_by_dimension(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.health_by_dimension(V.verdicts(spark, d)))
 
 
-# --------------------------------------------------------------------------------------------------------- scores
+# == scores
 
 
 @query(f"with {_V1}, {_scores('scores', 'verdicts')} select record_id, dimension, round(score, 6) as score from (unpivot scores on faithfulness, correctness, abstention into name dimension value score)")
@@ -207,7 +207,7 @@ def coverage_score_disagreement(spark: SparkSession, d: str) -> DataFrame:
     return V.results(spark, d).where(low | high).select("record_id", F.when(low, "covers_less").otherwise("covers_more").alias("kind"))
 
 
-# ----------------------------------------------------------------------------------------------- comparing runs
+# == comparing runs
 
 
 @query(f"""with {_RES2}, a as (select avg(overall) as o, avg(faithfulness) as f, avg(correctness) as c, avg(abstention) as s, avg(completeness) as p, avg(set_recall::int) as r from results), b as (select avg(overall) as o, avg(faithfulness) as f, avg(correctness) as c, avg(abstention) as s, avg(completeness) as p, avg(set_recall::int) as r from results2)
@@ -234,7 +234,7 @@ def perfect_streaks(spark: SparkSession, d: str) -> DataFrame:
     return A.perfect_streaks(history[0].unionByName(history[1]), 2)
 
 
-# ----------------------------------------------------------------------------------------------------- retrieval
+# == retrieval
 
 
 @query(f"{_MATCH} select record_id, grp, pos, rank from hits")
@@ -272,7 +272,7 @@ def discovered_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.discovered(results, gold, contexts).select("record_id", "rank")
 
 
-# -------------------------------------------------------------------------------------------------- text, chunks
+# == text, chunks
 
 
 @query(f"select doc_id, unnest({_SENT}) as sentence, generate_subscripts({_SENT}, 1) - 1 as pos from documents")
@@ -352,7 +352,7 @@ def score_labels(spark: SparkSession, d: str) -> DataFrame:
     return V.results(spark, d).select("record_id", S.score_class("overall").alias("class"), S.bar_width("overall").alias("width"), S.arrow(F.col("overall") - 0.5).alias("arrow"))
 
 
-# --------------------------------------------------------------------------------------------------- similarity
+# == similarity
 
 _COS = "round(list_sum(list_transform(generate_series(1, len(a.embedding)), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 6)"
 _PAIRS = f"pairs as (select a.vec_id as vec_a, b.vec_id as vec_b, {_COS} as similarity from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label <> b.label)"
@@ -379,7 +379,7 @@ def topk_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return similarity.nearest(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 5)
 
 
-# --------------------------------------------------------------------------------------------------- candidates
+# == candidates
 
 _ENT = r"""with found as (select 'c' || doc_id as chunk_id, source as doc_id, doc_id as ord, e.pos, e.display, lower(e.display) as entity from documents, lateral (select unnest(es) as display, generate_subscripts(es, 1) - 1 as pos
     from (select list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {'p': list_position(ws, w), 'w': w})), lambda x: x.w)[1:5] as es from (select list_filter(regexp_split_to_array(substr(text, 1, 2000), '[^\p{L}]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')) as ws))) e)"""
@@ -424,7 +424,7 @@ def shuffled_cycle(spark: SparkSession, d: str) -> DataFrame:
     return candidates.shuffled_cycle(V.table(spark, d, "benchmark").select(F.col("item_id").alias("item")), 100)
 
 
-# ----------------------------------------------------------------------------------------------------- sampling
+# == sampling
 
 
 @query("""(select doc_id, toxic from labels where toxic = 1 order by sha256('0|' || doc_id), doc_id limit 15) union all (select doc_id, toxic from labels where toxic = 0 order by sha256('0|' || doc_id), doc_id limit 35)""")
@@ -448,7 +448,7 @@ def typo_injection(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "benchmark").select("item_id", noise.typos(F.col("text"), noise.typo_count(F.col("text")), F.col("item_id")).alias("noisy"))
 
 
-# --------------------------------------------------------------------------------------------- leakage and quality
+# == leakage and quality
 
 
 @query(f"select item_id, doc_id from (select item_id, {_NORM.format('text')} as a from benchmark) join (select doc_id, {_NORM.format('text')} as t from documents) on contains(t, a)")
@@ -550,8 +550,8 @@ def red_flags(spark: SparkSession, d: str) -> DataFrame:
 _STUB = "o as (select coalesce(max(text) filter (where role = 'assistant'), '') as answer, list(text order by turn) filter (where role = 'user') as contexts from conversations group by conv_id)"
 
 
-@query(rf"""with {_STUB} select count(*) as n, count(*) filter (where lower(regexp_replace(answer, '^\s+|\s+$', '', 'g')) in ('...', '', 'todo', 'answer', 'your answer here')) as placeholders, (select count(*) from (select distinct answer, contexts from o)) as distinct_outputs,
-    count(*) filter (where lower(regexp_replace(answer, '^\s+|\s+$', '', 'g')) in ('...', '', 'todo', 'answer', 'your answer here')) > 0 or (count(*) >= 2 and (select count(*) from (select distinct answer, contexts from o)) = 1) as is_stub from o""")
+@query(rf"""with {_STUB} select count(*) as n, count(*) filter (where lower(regexp_replace(answer, '^\s+|\s+$', '', 'g')) in ('todo', 'your answer here', 'answer', '...', '')) as placeholders, (select count(*) from (select distinct answer, contexts from o)) as distinct_outputs,
+    count(*) filter (where lower(regexp_replace(answer, '^\s+|\s+$', '', 'g')) in ('todo', 'your answer here', 'answer', '...', '')) > 0 or (count(*) >= 2 and (select count(*) from (select distinct answer, contexts from o)) = 1) as is_stub from o""")
 def stub_detection(spark: SparkSession, d: str) -> DataFrame:
     turns = V.table(spark, d, "conversations")
     user = F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text"))))
@@ -559,7 +559,7 @@ def stub_detection(spark: SparkSession, d: str) -> DataFrame:
     return quality.stub_reasons(outputs)
 
 
-# -------------------------------------------------------------------------------------------------- calibration
+# == calibration
 
 _AGREE = """count(*)::bigint as n, count(*) filter (where t and j) as tp, count(*) filter (where not t and j) as fp, count(*) filter (where t and not j) as fn, count(*) filter (where not t and not j) as tn"""
 _AGREE2 = """n, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round((tp + tn) / n, 6) as raw_agreement,
@@ -595,7 +595,7 @@ def corrected_judge_rate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(calibration.corrected_rate(rows, rows.where("doc_id % 2 = 0")))
 
 
-# --------------------------------------------------------------------------------------------- versions and resume
+# == versions and resume
 
 _STALE = """orig as (select doc_id, sha256(text) as h from documents), cur as (select doc_id, sha256(case when doc_id % 7 = 0 then text || 'x' else text end) as h from documents where doc_id % 10 <> 0),
 recs as (select doc_id as record_id, unnest([doc_id, doc_id + 1]) as doc_id, unnest([0, 1]) as pos from documents),
@@ -638,7 +638,7 @@ def distinct_prompts(spark: SparkSession, d: str) -> DataFrame:
     return keys.join(ask.select("key"), "key").groupBy("key").agg(F.count("*").alias("asked"))
 
 
-# --------------------------------------------------------------------------------------------------- sizes, costs
+# == sizes, costs
 
 _BRACKETS = ", ".join(f"({b}, '{t}', {lo}, {hi})" for b, t, lo, hi in config.SIZING)
 
@@ -673,7 +673,7 @@ def document_depth(spark: SparkSession, d: str) -> DataFrame:
     return counted.select("doc_id", S.depth("n").alias("x")).select("doc_id", "x.*")
 
 
-# --------------------------------------------------------------------------------------------------- set algebra
+# == set algebra
 
 
 @query("select doc_id from documents intersect select doc_id from labels")

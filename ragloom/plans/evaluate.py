@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
 from typing import Any
@@ -72,11 +72,11 @@ def _judged(rows: DataFrame, ids: list[str], provider: Provider, table: str, def
     return replies.select(F.col("id").alias("record_id"), F.inline(parse("reply")))
 
 
-def evaluate(eval_set: EvalSet, system: Callable[[str], Any], provider: Provider, work: str, scoring_set: str | list | None = None, weights: dict[str, float] | None = None, timeout: float = 60.0, pause: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def evaluate(eval_set: EvalSet, system: Callable[[str], Any], provider: Provider, work: str, scoring_set: list | str | None = None, weights: Mapping[str, float] | None = None, timeout: float = 60.0, pause: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """results and verdicts of a run; both are written below ``work``, with the model's replies."""
     spark = eval_set.records.sparkSession
     questions = config.questions_for(scoring_set, eval_set.tier)
-    shares = config.weights_for(weights, questions, eval_set.tier, isinstance(scoring_set, list))
+    shares = config.weights_for(dict(weights) if weights is not None else None, questions, eval_set.tier, isinstance(scoring_set, list))
     records = eval_set.records
     run_system(records, system, timeout).write.mode("overwrite").parquet(f"{work}/outputs")
     outputs = spark.read.parquet(f"{work}/outputs")

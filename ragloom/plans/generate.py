@@ -36,7 +36,7 @@ class EvalSet:
     metadata: dict = field(default_factory=dict)
 
     def head(self) -> dict:
-        return {"version": self.version, "tier": self.tier, "metadata": self.metadata}
+        return {name: getattr(self, name) for name in ("tier", "metadata", "version")}
 
 
 def budget(spark: SparkSession, tier: str, size: int) -> dict[str, int]:
@@ -134,7 +134,7 @@ def _compound(n: int, chunks: DataFrame, vectors: DataFrame, provider: Provider,
     return got.select(F.lit("compound").alias("kind"), F.col("pair").alias("ord"), both("groups").alias("groups"), both("group_texts").alias("group_texts"), F.array_distinct(both("docs")).alias("docs"), F.col("q.question").alias("question"), F.col("q.gold_answer").alias("gold_answer"), both("intents").alias("intents"), F.col("q.notes").alias("notes"))
 
 
-def generate(spark: SparkSession, docs_dir: str, provider: Provider, work: str, tier: str = "medium", size: int | str = "auto", seed: int = 0, chunk_size: int = 512, chunk_overlap: int = 64, strategy: str = "auto", pause: float = 1.0) -> EvalSet:
+def generate(spark: SparkSession, docs_dir: str, provider: Provider, work: str, tier: str = config.TIERS[1], size: str | int = "auto", seed: int = 0, chunk_size: int = 512, chunk_overlap: int = 64, strategy: str = "auto", pause: float = 1.0) -> EvalSet:
     """Chunks, candidates, questions, noise, leakage check and records; ``work`` is a folder that all executors share."""
     settings = config.tier_config(tier)
     docs = readers.load_directory(spark, docs_dir)

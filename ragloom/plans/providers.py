@@ -38,23 +38,33 @@ class ProviderError(RuntimeError):
 
 def extract_json(text: str) -> Any:
     """JSON from a reply: a fenced block, the whole, or the first balanced object, then list."""
-    text = text.strip()
-    if fenced := re.search(r"```(?:json)?\s*(.*?)```", text, re.S):
-        text = fenced[1].strip()
+    body = text.strip()
+    if "```" in body and len(parts := body.split("```")) > 2:
+        body = parts[1].removeprefix("json").strip()
+    found = _loaded(body)
+    for pair in ("{}", "[]"):
+        if found is None and (inner := _balanced(body, pair)) is not None:
+            found = _loaded(inner)
+    if found is not None:
+        return found[0]
+    raise ValueError(f"no JSON in {text[:200]!r}")
+
+
+def _loaded(text: str) -> tuple[Any] | None:
     try:
-        return json.loads(text)
+        return (json.loads(text),)
     except json.JSONDecodeError:
-        pass
-    for opening, closing in ("{}", "[]"):
-        begin, level = text.find(opening), 0
-        for i in range(begin, len(text) if begin >= 0 else begin):
-            level += (text[i] == opening) - (text[i] == closing)
-            if not level:
-                try:
-                    return json.loads(text[begin : i + 1])
-                except json.JSONDecodeError:
-                    break
-    raise ValueError(f"no JSON in {text[:200]!r}")
+        return None
+
+
+def _balanced(text: str, pair: str) -> str | None:
+    """From the first opening sign to the one that closes it; signs inside strings count as well."""
+    begin, level = text.find(pair[0]), 0
+    for i, sign in enumerate(text[begin:] if begin >= 0 else ""):
+        level += (sign == pair[0]) - (sign == pair[1])
+        if not level:
+            return text[begin : begin + i + 1]
+    return None
 
 
 def extract_json_array(text: str) -> list:
@@ -122,7 +132,7 @@ class HttpProvider:
     def complete(self, prompt: str, temperature: float = 0.0) -> str:
         import os
 
-        body = json.dumps({"model": self.name, "temperature": temperature, "messages": [{"role": "user", "content": prompt}]}).encode()
+        body = json.dumps({"model": self.name, "temperature": temperature, "messages": [dict(content=prompt, role="user")]}).encode()
         head = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}
         with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.timeout) as reply:
             return json.load(reply)["choices"][0]["message"]["content"]

@@ -44,8 +44,8 @@ def decoded(raw: bytes) -> str:
     """Text by its byte order mark, else UTF-8, else UTF-8 with replacement."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if raw.startswith(mark):
-            return raw.decode(name, errors="replace")
-    return raw.decode("utf-8", errors="replace")
+            return str(raw, name, "replace")
+    return str(raw, "utf-8", "replace")
 
 
 class _Texts(html.parser.HTMLParser):
@@ -75,7 +75,7 @@ def html_to_text(source: str) -> str:
 def csv_to_text(source: str) -> str:
     """A line "header: value; header: value" for each row; the shorter side decides."""
     header, *body = list(csv.reader(io.StringIO(source))) or [[]]
-    return "\n".join("; ".join(f"{h}: {v}" for h, v in zip(header, row, strict=False)) for row in body)
+    return "\n".join("; ".join(map(": ".join, zip(header, row, strict=False))) for row in body)
 
 
 def docx_to_text(raw: bytes) -> str:

@@ -31,7 +31,7 @@ def flat(results: DataFrame) -> DataFrame:
     """19 plain columns; noise types in their own order joined by "+", tags by ","."""
     score = lambda d: (F.col(f"{d}.score") if results.schema[d].dataType.typeName() == "struct" else F.col(d)).alias(d)
     return results.select(
-        "record_id", "question", "question_type", F.array_join("noise_profile", "+").alias("noise_profile"), "difficulty", "rag_answer", "rag_error", "chunk_recall", "set_recall", "mrr", "precision_at_k",
+        *"record_id question question_type".split(), F.array_join("noise_profile", "+").alias("noise_profile"), *"difficulty rag_answer rag_error chunk_recall set_recall mrr precision_at_k".split(),
         *(score(d) for d in config.DIMENSIONS), "overall_score", "intent_coverage", F.array_join("domain_tags", ",").alias("domain_tags"),
     )
 
@@ -48,7 +48,9 @@ def review_rows(records: DataFrame) -> DataFrame:
     """What a reviewer sees: previews of 100 characters, " | " within a group and " / " between groups."""
     preview = F.array_join(F.transform("gold_chunks_text", lambda g: F.array_join(F.transform(g, lambda t: F.substring(t, 1, 100)), " | ")), " / ")
     points = F.array_join(F.transform("intent_points", lambda p: F.concat(p["id"], F.when(p["required"], "(req): ").otherwise("(pref): "), p["text"])), "; ")
-    return records.select("id", "question", "question_clean", "question_type", "gold_answer", preview.alias("gold_chunks_preview"), points.alias("intent_points_summary"), F.lit("").alias("reviewer_verdict"), F.lit("").alias("reviewer_notes"))
+    plain = "id question question_clean question_type gold_answer".split()
+    blank = [F.lit("").alias(c) for c in ("reviewer_verdict", "reviewer_notes")]
+    return records.select(*plain, preview.alias("gold_chunks_preview"), points.alias("intent_points_summary"), *blank)
 
 
 def _rows(head: list[str], body: list[tuple]) -> str:

@@ -1,9 +1,10 @@
 import os
 import sys
+from pathlib import Path
 
 import pytest
 
-HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+HERE = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.path.join(HERE, "tests"), *filter(None, [os.environ.get("PYTHONPATH")])])
 

@@ -19,7 +19,7 @@ def column(spark, text, expression):
     return spark.createDataFrame([(text,)], "text string").select(expression.alias("x")).first()["x"]
 
 
-# ------------------------------------------------------------------------------------------------------ text
+# == text
 
 
 def test_splitting(spark):
@@ -42,7 +42,7 @@ def test_html(spark):
     assert column(spark, page, T.html_text("text")) == "T\na & b\nc"
 
 
-# -------------------------------------------------------------------------------------------------- chunking
+# == chunking
 
 
 def plain_pack(units, sizes, size, overlap):
@@ -82,7 +82,7 @@ def test_chunks(spark):
         chunking.chunks(docs, "pages")
 
 
-# ------------------------------------------------------------------------------------------------- retrieval
+# == retrieval
 
 
 def scores(spark, gold, contexts):
@@ -117,7 +117,7 @@ def test_discovery(spark):
     assert retrieval.discovered(results.withColumn("overall", F.lit(0.7)), gold, contexts).count() == 0
 
 
-# ------------------------------------------------------------------------------------------- scores and health
+# == scores and health
 
 
 def verdict_table(spark, rows):
@@ -163,7 +163,7 @@ def test_intents(spark):
     assert got["r"] == pytest.approx(2 / 3) and got["s"] == 1.0
 
 
-# ------------------------------------------------------------------------------------------------- other facts
+# == other facts
 
 
 def test_round_robin(spark):

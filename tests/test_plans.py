@@ -115,7 +115,7 @@ def test_generate_and_evaluate(spark, corpus, tmp_path):
     results, verdicts = api.evaluate(again, system, str(tmp_path / "run"), pause=0)
     assert results.count() == len(records) and verdicts.count() == 24 * len(records)
     assert results.where("overall < 0 or overall > 1 or chunk_recall > 1").count() == 0
-    assert analytics.health(verdicts).first().verdict in ("healthy", "needs_work", "broken")
+    assert analytics.health(verdicts).first().verdict in {"broken", "needs_work", "healthy"}
     assert results.where("unanswerable and chunk_recall <> 1").count() == 0
     checks = E.validate(again, P.OfflineProvider(), str(tmp_path / "checks"), pause=0)
     assert checks.count() == len(config.CHECKS) * len(records) and quality.pass_rates(checks).count() == 4
