@@ -36,7 +36,7 @@ class TemplateError(ValueError):
     """A template that can't be parsed, or data that it can't render."""
 
 
-# --------------------------------------------------------------------------------------------------- syntax tree
+# == syntax tree
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ class Generation:
     body: tuple
 
 
-# -------------------------------------------------------------------------------------------------------- parsing
+# == parsing
 
 _TAGS = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
 _TOKENS = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+\-*%~|.,()\[\]=]))""")
@@ -328,7 +328,7 @@ def parse(source: str) -> tuple:
     return block()[0]
 
 
-# ------------------------------------------------------------------------------------------------------- meaning
+# == meaning
 
 
 def _text(value: Any) -> str:
@@ -448,7 +448,7 @@ def _unary(op: str) -> Callable[[Any], Any]:
     return (lambda v: not v) if op == "not" else (lambda v: -_whole(v))
 
 
-# ------------------------------------------------------------------------------------------------------- closures
+# == closures
 
 
 class _Out:
@@ -564,7 +564,7 @@ def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int,
     return render
 
 
-# -------------------------------------------------------------------------------------------------------- operator
+# == operator
 
 
 def rendered(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
