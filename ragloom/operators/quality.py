@@ -78,6 +78,20 @@ def flagged(checks: DataFrame) -> DataFrame:
     return bad.where(F.size("failed") > 1)
 
 
+def one_document_pairs(records: DataFrame) -> DataFrame:
+    """record_id of cross-document questions that draw on fewer than two documents."""
+    return records.where((F.col("question_type") == "cross_doc") & (F.size(F.array_distinct("source_doc_ids")) < 2)).select("record_id")
+
+
+def share_gaps(records: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """question_type, share, wanted, gap of each type's share and what was asked for."""
+    dim = records.sparkSession.createDataFrame(list(wanted.items()), "question_type string, wanted double")
+    counted = records.groupBy("question_type").agg(F.count("*").alias("n"))
+    total = records.agg(F.count("*").alias("total"))
+    joined = dim.join(counted, "question_type", "left").crossJoin(total)
+    return joined.select("question_type", F.coalesce(F.try_divide("n", "total"), F.lit(0.0)).alias("share"), "wanted").withColumn("gap", F.col("share") - F.col("wanted"))
+
+
 def with_resolvability(checks: DataFrame, unresolved: DataFrame) -> DataFrame:
     """Check GC5 fails for records whose gold chunks don't all exist."""
     missing = unresolved.select("record_id", F.lit(True).alias("missing"))

@@ -12,7 +12,9 @@ from ragloom.functions import scalars as S
 from ragloom.functions import text as T
 from ragloom.operators import analytics as A
 from ragloom.operators import calibration, candidates, chunking, compare, costs, noise, quality, retrieval, sampling, scoring, similarity, versioning
+from ragloom.plans import evaluate
 from ragloom.plans import views as V
+from ragloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -352,6 +354,35 @@ def score_labels(spark: SparkSession, d: str) -> DataFrame:
     return V.results(spark, d).select("record_id", S.score_class("overall").alias("class"), S.bar_width("overall").alias("width"), S.arrow(F.col("overall") - 0.5).alias("arrow"))
 
 
+@query("select source as title, arg_min(text, doc_id) as text, substr(sha1(source), 1, 16) as passage_id from documents group by source")
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.passages(V.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("title"), "text"))
+
+
+@query("select role as question, arg_max(text, conv_id * 1000 + turn) as rag_answer, count(*) as n from conversations group by role")
+def replayed_answers(spark: SparkSession, d: str) -> DataFrame:
+    turns = V.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("role").alias("question"), F.col("text").alias("rag_answer"), F.array("text").alias("rag_contexts"))
+    return evaluate.replay(turns).select("question", "rag_answer").join(turns.groupBy("question").agg(F.count("*").alias("n")), "question")
+
+
+@query("select format('ext-{:04d}', item_id) as id, case when item_id % 3 = 0 then 'cross_doc' else 'single_chunk' end as question_type, text as gold_answer, substr(sha1(text), 1, 16) as chunk from benchmark")
+def external_records(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("item_id") % 3 == 0, "multi_hop_x").otherwise("single_x")
+    rows = V.table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), F.lit("q").alias("question"), F.array("text").alias("contexts"), F.col("text").alias("ground_truth"), name.alias("synthesizer_name"))
+    return readers.external_records(rows).select("id", "question_type", "gold_answer", F.col("gold_chunk_ids")[0][0].alias("chunk"))
+
+
+@query(f"with {_REC} select record_id from records where question_type = '1-URGENT' and source_doc_ids[1] = source_doc_ids[2]")
+def one_document_pairs(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("question_type") == "1-URGENT", "cross_doc").otherwise("x")
+    return quality.one_document_pairs(V.records(spark, d).withColumn("question_type", kind))
+
+
+@query(f"with {_REC} select t as question_type, round(coalesce(n, 0) / (select count(*) from records), 6) as share, w as wanted, round(coalesce(n, 0) / (select count(*) from records) - w, 6) as gap from (values ('1-URGENT', 0.3::double), ('9-NONE', 0.1::double)) v(t, w) left join (select question_type, count(*) as n from records group by 1) on question_type = t")
+def type_share_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quality.share_gaps(V.records(spark, d), {"1-URGENT": 0.3, "9-NONE": 0.1}))
+
+
 # == similarity
 
 _COS = "round(list_sum(list_transform(generate_series(1, len(a.embedding)), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 6)"

@@ -196,6 +196,20 @@ def calibration_rows(responses: DataFrame, sources: DataFrame) -> DataFrame:
     return responses.join(qa, "source_id").withColumn("has_hallucination", F.size("labels") > 0)
 
 
+def external_records(rows: DataFrame) -> DataFrame:
+    """Records of another generator's rows (ord, question, contexts, ground_truth, synthesizer_name): one gold group of all contexts.
+
+    A name with "multi_hop" makes a question on several documents; passages have ids by their text.
+    """
+    multi = F.contains(F.col("synthesizer_name"), F.lit("multi_hop"))
+    ids = F.transform("contexts", lambda c: F.substring(F.sha1(c), 1, 16))
+    none = F.array().cast("array<string>")
+    return rows.select(
+        F.format_string("ext-%04d", "ord").alias("id"), "question", F.col("question").alias("question_clean"), F.when(multi, "cross_doc").otherwise("single_chunk").alias("question_type"), F.array(F.lit("clean")).alias("noise_profile"), F.lit("medium").alias("difficulty"),
+        F.col("ground_truth").alias("gold_answer"), F.array(ids).alias("gold_chunk_ids"), F.array("contexts").alias("gold_chunks_text"), F.array().cast(f"array<{INTENT}>").alias("intent_points"), F.lit(False).alias("unanswerable"), multi.alias("requires_synthesis"), none.alias("domain_tags"), none.alias("source_doc_ids"), F.lit("").alias("scoring_notes"),
+    )
+
+
 def read_conf(path: str) -> dict[str, str]:
     """KEY=VALUE lines; none for a file that isn't there. For the driver only."""
     if not os.path.exists(path):

@@ -121,6 +121,10 @@ def test_generate_and_evaluate(spark, corpus, tmp_path):
     assert checks.count() == len(config.CHECKS) * len(records) and quality.pass_rates(checks).count() == 4
     page = writers.html_report(results.withColumn("question", F.lit("<b>")))
     assert "<b>" not in page.split("</style>")[1].replace("<b>", "", 0) or "&lt;b&gt;" in page
+    kept = results.select(*[c for c in results.columns if c in ("record_id", "question", "noise_profile", "chunk_recall")]).withColumn("overall_score", F.lit(0.5))
+    writers.write_results(kept, "medium", str(tmp_path / "run.json"))
+    back = readers.read_results(spark, str(tmp_path / "run.json"))
+    assert {(r.record_id, r.chunk_recall, r.overall_score) for r in back.collect()} == {(r.record_id, r.chunk_recall, 0.5) for r in kept.collect()}
     flat = writers.flat(results.withColumnRenamed("overall", "overall_score"))
     assert len(flat.columns) == 19
     writers.write_csv(flat, str(tmp_path / "csv"))
