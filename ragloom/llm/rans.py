@@ -223,7 +223,8 @@ _COLUMNS = "block long, doc_ids array<long>, lengths array<long>, n_tokens long,
 def encoded(docs: DataFrame, path: str = TOKENIZER, block: int = BLOCK, lanes: int = LANES, checkpoint: int = CHECKPOINT) -> DataFrame:
     """A row for each block, and one with block -1 whose payload is the frequency table."""
     spark = docs.sparkSession
-    blocks = cut(tokenised(docs, path, block), "tokens")
+    # Rows of a megabyte: the writer looks at a page's size after a few rows, not after its usual hundred.
+    blocks = cut(tokenised(docs, path, block), "tokens", **{"parquet.page.size.row.check.min": "2", "parquet.page.size.row.check.max": "4"})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
