@@ -4,7 +4,7 @@ Unit vectors of cosine c are at squared distance 2 - 2c. A rotation spreads the
 dimensions are split into blocks. The squared distance is the sum of the blocks' squared distances, so a pair within
 the limit T is within T x share in at least one block, for any shares that sum to one; a block's share is its part of
 the total energy. Each block is range-joined on a grid: a vector lives in the cell of its leading dimensions and asks
-all cells that its ball of radius sqrt(T x share) reaches. The union of the blocks' candidates is verified on whole
+the cells that its ball of radius sqrt(T x share) reaches, of two neighbouring cells one the other. The union of the blocks' candidates is verified on whole
 vectors. Nothing within the limit is lost, so recall is 1.
 
 Defined results: null vectors, null ids, vectors with a null, infinite or undefined entry and zero vectors have no
@@ -85,6 +85,9 @@ def near_duplicate_vectors(docs: DataFrame, cosine: float = COSINE, id_col: str
                 inside = at - home
                 for move in np.ndindex(*(3,) * g):
                     step = np.array(move) - 1
+                    # Of two cells one asks the other, not both: steps whose first move goes up, and none at all.
+                    if next((d for d in step if d), 1) < 0:
+                        continue
                     # Distance from the vector to the cell, in radii: 0 along dimensions in which it is at home.
                     away = np.where(step == 0, 0, np.where(step > 0, 1 - inside, inside))
                     asks = (away**2).sum(1) <= 1 + 1e-4
@@ -95,14 +98,14 @@ def near_duplicate_vectors(docs: DataFrame, cosine: float = COSINE, id_col: str
                     code = np.zeros(len(which), np.int64)
                     for d in range(g):
                         code = code * 1_000_003 + cell[:, d]
-                    asking = pa.array(np.zeros(len(which), bool))
-                    columns = [pa.array(np.full(len(which), b, np.int32)), pa.array(code), asking, pa.array(keys[which]), pa.array([p.tobytes() for p in part[which]], pa.binary())]
-                    yield pa.record_batch(columns, ["block", "cell", "lives", "key", "part"])
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(part.shape[1] * 4), len(which), [None, pa.py_buffer(part[which].tobytes())]).cast(pa.binary())
+                    columns = [pa.array(np.full(len(which), b, np.int32)), pa.array(code), pa.array(np.zeros(len(which), bool)), pa.array(np.full(len(which), not step.any())), pa.array(keys[which]), raw]
+                    yield pa.record_batch(columns, ["block", "cell", "lives", "home", "key", "part"])
                     if not step.any():
                         columns[2] = pa.array(np.ones(len(which), bool))
-                        yield pa.record_batch(columns, ["block", "cell", "lives", "key", "part"])
+                        yield pa.record_batch(columns, ["block", "cell", "lives", "home", "key", "part"])
 
-    spread = cut(units.select("key", "v").mapInArrow(blocked, "block int, cell long, lives boolean, key long, part binary"), "cells")
+    spread = cut(units.select("key", "v").mapInArrow(blocked, "block int, cell long, lives boolean, home boolean, key long, part binary"), "cells")
     counts = spread.groupBy("block", "cell").agg(F.count_if("lives").alias("homes"), F.count_if(~F.col("lives")).alias("askers")).where("homes > 0")
     counts = counts.select("block", "cell", F.ceil(F.col("homes") / CELL).cast("int").alias("hs"), F.ceil(F.col("askers") / CELL).cast("int").alias("qs"))
     # A crowded cell is split on both sides, every part of one meeting every part of the other.
@@ -110,7 +113,7 @@ def near_duplicate_vectors(docs: DataFrame, cosine: float = COSINE, id_col: str
     own = F.pmod(F.xxhash64("key"), F.when(F.col("lives"), F.col("hs")).otherwise(F.col("qs"))).cast("int")
     placed = placed.withColumn("own", own)
     other = F.sequence(F.lit(0), F.when(F.col("lives"), F.col("qs")).otherwise(F.col("hs")) - 1)
-    placed = placed.select("block", "cell", "lives", "key", "part", "own", F.explode(other).alias("other"))
+    placed = placed.select("block", "cell", "lives", "home", "key", "part", "own", F.explode(other).alias("other"))
     placed = placed.withColumn("h", F.when(F.col("lives"), F.col("own")).otherwise(F.col("other"))).withColumn("q", F.when(F.col("lives"), F.col("other")).otherwise(F.col("own")))
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,13 +122,15 @@ def near_duplicate_vectors(docs: DataFrame, cosine: float = COSINE, id_col: str
         x = np.frombuffer(b"".join(pdf["part"]), np.float32).reshape(len(pdf), -1)
         keys = pdf["key"].to_numpy()
         h, q, hk, qk = x[lives], x[~lives], keys[lives], keys[~lives]
+        apart = ~pdf["home"].to_numpy()[~lives]
         out_a, out_b = [], []
         for i in range(0, len(q), 1024):
             piece = q[i : i + 1024]
             d = (piece**2).sum(1)[:, None] + (h**2).sum(1)[None, :] - 2 * piece @ h.T
-            left, right = np.nonzero((d <= radii[b] ** 2 * (1 + 1e-4) + 1e-6) & (qk[i : i + 1024, None] < hk[None, :]))
-            out_a.append(qk[i + left])
-            out_b.append(hk[right])
+            # At home every pair meets twice.
+            left, right = np.nonzero((d <= radii[b] ** 2 * (1 + 1e-4) + 1e-6) & (apart[i : i + 1024, None] | (qk[i : i + 1024, None] < hk[None, :])))
+            out_a.append(np.minimum(qk[i + left], hk[right]))
+            out_b.append(np.maximum(qk[i + left], hk[right]))
         return pd.DataFrame({"a": np.concatenate(out_a or [[]]).astype(np.int64), "b": np.concatenate(out_b or [[]]).astype(np.int64)})
 
     pairs = placed.groupBy("block", "cell", "h", "q").applyInPandas(joined, "a long, b long").distinct()
