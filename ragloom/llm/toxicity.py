@@ -7,7 +7,9 @@ weight per 100 words, so that length doesn't matter.
 
 The lexicon has a fixed part and one fitted on labelled documents: words, and beginnings of words, that are common in
 toxic documents (8 at least, and one in 100) and all but absent from clean ones (one for 50 toxic). Fitting reads a sample of at most ``SAMPLE``
-labelled documents, chosen by a hash of their ids.
+labelled documents, chosen by a hash of their ids. Words and beginnings are counted and matched both folded and as written, that is
+with their accents, as a toxic word may differ from a clean one in an accent only. A fitted entry is folded if that form
+qualifies; else the form as written is taken if it does, and begins with ``=``.
 
 Defined results: null texts, null ids and texts without a word score nothing and are never toxic; repeated rows give
 repeated results; labels that are null or contradict each other are not used.
@@ -49,9 +51,24 @@ _FOLD = {ord(k): v for k, v in _LOOKALIKES.items()} | {c: None for c in (0xAD, 0
 _SUBSTITUTES = str.maketrans("0134578@$!|", "oieastbasil")
 #: A run of word signs and stand-ins in which a stand-in touches a letter.
 _MIXED = re.compile(r"(?:[a-z]+[0134578@$!|]+|[0134578@$!|]+[a-z]+)[a-z0134578@$!|]*")
+_STANDIN = re.compile(r"[0134578@$!|]")
 _MARKS = re.compile(r"[̀-ͯ]")
 
 
+class _Written(dict):
+    """By code point what a letter is as written: itself if it has an accent, else what folding makes of it."""
+
+    def __missing__(self, code: int) -> str:
+        sign = chr(code)
+        apart = unicodedata.normalize("NFKD", sign)
+        base = _MARKS.sub("", apart).translate(_FOLD).lower()
+        self[code] = sign if base != apart and len(base) == 1 and _MARKS.search(apart) else base
+        return self[code]
+
+
+_WRITTEN = _Written()
+
+
 def fold(text: str) -> str:
     """Lower case without accents, homoglyphs or stand-ins; only letters that stand in for others change length."""
     text = text.lower()
@@ -60,6 +77,15 @@ def fold(text: str) -> str:
     return _MIXED.sub(lambda m: _unmask(m[0]), text)
 
 
+def forms(text: str) -> tuple[str, str]:
+    """The text folded and, place by place the same but for accents that are kept, as written."""
+    folded = fold(text)
+    if text.isascii():
+        return folded, folded
+    written = unicodedata.normalize("NFC", text.lower()).translate(_WRITTEN)
+    return folded, _STANDIN.sub(lambda m: folded[m.start()], written)
+
+
 def _unmask(token: str) -> str:
     """Stand-ins that end a word are punctuation ("clown!"), those inside it are letters ("cl0wn")."""
     body = token.rstrip("!|")
@@ -67,45 +93,49 @@ def _unmask(token: str) -> str:
 
 
 class Matcher:
-    """Lexicon and exceptions in one automaton."""
+    """Lexicon and exceptions in one automaton, entries as written (``=``) in another."""
 
     def __init__(self, lexicon: dict[str, float], exceptions: Iterable[str] = EXCEPTIONS):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        entries: dict[str, list] = {}
+        self.folded, self.written = ahocorasick.Automaton(), ahocorasick.Automaton()
+        entries: dict[tuple[bool, str], list] = {}
         for term, weight in lexicon.items():
-            entries.setdefault(fold(term.rstrip("*")), []).append((weight, term.endswith("*"), term))
+            stem = term.rstrip("*")
+            key = (True, forms(stem[1:])[1]) if stem.startswith("=") else (False, fold(stem))
+            entries.setdefault(key, []).append((weight, term.endswith("*"), term))
         for phrase in exceptions:
-            entries.setdefault(fold(phrase), []).append((None, False, phrase))
-        for text, rules in entries.items():
+            entries.setdefault((False, fold(phrase)), []).append((None, False, phrase))
+        for (written, text), rules in entries.items():
             if text:
-                self.automaton.add_word(text, (len(text), tuple(rules)))
-        self.automaton.make_automaton()
+                (self.written if written else self.folded).add_word(text, (len(text), tuple(rules)))
+        for automaton in (self.folded, self.written):
+            automaton.make_automaton()
 
-    def matches(self, folded: str) -> list[tuple[int, float, str]]:
-        """(place, weight, term) of what counts; of several terms that begin at one place the weightiest."""
+    def matches(self, folded: str, written: str | None = None) -> list[tuple[int, float, str]]:
+        """(place, weight, term) of what counts; of several terms that begin at one place the weightiest, first folded ones."""
         found: dict[int, tuple[float, str]] = {}
         spared = []
         size = len(folded)
-        for last, (length, rules) in self.automaton.iter(folded):
-            begin = last - length + 1
-            if begin and folded[begin - 1].isalnum():
-                continue
-            whole = last + 1 == size or not folded[last + 1].isalnum()
-            for weight, prefix, term in rules:
-                if weight is None:
-                    if whole:
-                        spared.append((begin, last))
-                elif (whole or prefix) and weight > found.get(begin, (0.0, ""))[0]:
-                    found[begin] = (weight, term)
+        for automaton, text in ((self.folded, folded), (self.written, folded if written is None else written)):
+            for last, (length, rules) in automaton.iter(text) if len(automaton) else ():
+                begin = last - length + 1
+                if begin and text[begin - 1].isalnum():
+                    continue
+                whole = last + 1 == size or not text[last + 1].isalnum()
+                for weight, prefix, term in rules:
+                    if weight is None:
+                        if whole:
+                            spared.append((begin, last))
+                    elif (whole or prefix) and weight > found.get(begin, (0.0, ""))[0]:
+                        found[begin] = (weight, term)
         return sorted((at, *hit) for at, hit in found.items() if not any(lo <= at <= hi for lo, hi in spared))
 
 
 def rate(matcher: Matcher, text: str) -> tuple[int, list[tuple[int, float, str]], float]:
     """Words, matches and score of a text."""
     n = len(text.split())
-    hits = matcher.matches(fold(text)) if n else []
+    hits = matcher.matches(*forms(text)) if n else []
     return n, hits, round(100 * sum(h[1] for h in hits) / n, 6) if n else 0.0
 
 
@@ -126,18 +156,28 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
         clean: Counter[str] = Counter()
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen = set(re.findall(r"[^\W\d_]+", fold(text)))
-                (toxic if label else clean).update(seen)
                 (toxic if label else clean)[""] += 1
-                (toxic if label else clean).update({w[:n] + "*" for w in seen for n in range(4, min(6, len(w) - 1) + 1)})
+                for mark, form in zip(("", "="), forms(text), strict=True):
+                    seen = set(re.findall(r"[^\W\d_]+", form))
+                    (toxic if label else clean).update(mark + w for w in seen)
+                    (toxic if label else clean).update({mark + w[:n] + "*" for w in seen for n in range(4, min(6, len(w) - 1) + 1)})
         terms = list(toxic.keys() | clean.keys())
         yield pa.record_batch([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
     counted = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    good = counted.where("toxic >= 8 and 50 * clean <= toxic or term = ''").select("term", "toxic").collect()  # terms of a bounded sample
-    found = {r["term"]: r["toxic"] for r in good}
+    told = counted.where("toxic >= 8 and 50 * clean <= toxic or term = ''").select("term", "toxic").collect()  # terms of a bounded sample
+    found = {r["term"]: r["toxic"] for r in told}
     least = found.pop("", 0) / 100
-    return LEXICON | chosen({t: n for t, n in found.items() if n >= least})
+    good = {t: n for t, n in found.items() if n >= least}
+    folded = chosen({t: n for t, n in good.items() if not t.startswith("=")})
+    written = chosen({t[1:]: n for t, n in good.items() if t.startswith("=")})
+    return LEXICON | folded | {"=" + t: w for t, w in written.items() if not _covered(t, folded)}
+
+
+def _covered(term: str, folded: dict[str, float]) -> bool:
+    """Whether folded entries match all that a term as written does."""
+    stem = fold(term.rstrip("*"))
+    return stem in folded and not term.endswith("*") or any(stem[:n] + "*" in folded for n in range(4, len(stem) + 1))
 
 
 def chosen(good: dict[str, int]) -> dict[str, float]:

@@ -31,6 +31,25 @@ def test_fitting_finds_words_and_beginnings(spark, docs_of):
     assert found == {i for i in range(400) if i % 4 == 0}
 
 
+def test_words_that_differ_by_an_accent_are_told_apart(spark, docs_of):
+    rows = [(i, FILL + ("gâvlor " if i % 4 == 0 else "gavlor ") + f"n{i}x" + "abcdefghij"[i % 10] * (10 + i % 13)) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    lexicon = X.fitted(spark, docs_of(rows), labels)
+    assert "=gâvlor" in lexicon and "gavlor" not in lexicon
+    found = {r.doc_id for r in X.toxic_documents(docs_of(rows), lexicon).collect()}
+    assert found == {i for i in range(400) if i % 4 == 0}
+
+
+def test_the_text_as_written_keeps_its_places():
+    m = X.Matcher({"=réva": 1.0, "=mot*": 1.0, "plat": 0.5, "=plat": 0.5})
+    hits = lambda t: [(h[0], h[2]) for h in m.matches(*X.forms(t))]
+    assert hits("RÉVA reva re\u0301va rév4 môt motif plât") == [(0, "=réva"), (10, "=réva"), (15, "=réva"), (24, "=mot*"), (30, "plat")]
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x20000)]))
+    for text in (every, every[::-1], "é".join(every[::7])):
+        folded, written = X.forms(text)
+        assert len(folded) == len(written) and folded == X.fold(text)
+
+
 def test_odd_rows(spark, odd, empty, tmp_path):
     assert X.toxic_documents(odd, X.LEXICON).count() == 0
     assert X.toxic_documents(empty, X.LEXICON).count() == 0
