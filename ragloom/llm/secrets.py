@@ -30,18 +30,25 @@ from ragloom.llm.shared import cut, keyed, table
 #: Characters between two parts that still belong together.
 SCOPE = 200
 
-#: kind, strength, pattern; earlier ones win where two begin at one place. All are valid in Java, RE2 and Python.
+#: What may stand before the key word of a setting (DB_PASSWORD), and what between it and the value.
+_BEFORE = r"\b[0-9A-Za-z_\-]{0,40}?"
+_SETS = r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: A value that is a strong part or an endpoint by its form is that part, not the secret of its setting.
+_NOT_OTHER = r"(?!-----BEGIN |(?:AKIA|ASIA)[0-9A-Z]{16}\b|gh[pousr]_[0-9A-Za-z]{36}\b|xox[abprs]-[0-9A-Za-z-]{10}|sk_live_[0-9A-Za-z]{16}|(?:https?|s3|jdbc|postgres|mysql|mongodb|redis|ftp)://)"
+#: Signs but quotes, up to where the next setting begins; what closes a sentence or bracket is not the value's end.
+_VALUE = r"(?:[^\s\"'`&;,]|[&;,](?![0-9A-Za-z_.\-]{1,40}[=:])){8,128}(?<![.,;:)\]}>])"
+#: kind, strength, pattern; earlier ones win where two begin at one place.
 PARTS = (
     ("secret", "strong", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
     ("identifier", "strong", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("secret", "strong", r"\b(?:gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,72}|sk_live_[0-9A-Za-z]{16,64})\b"),
-    ("secret", "weak", r"\b(?:password|passwd|pwd|token|secret|secret_key|api_key|apikey|access_key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z+/_\-]{8,128}"),
-    ("identifier", "weak", r"\b(?:user|username|login|account)\b\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z._\-]{2,64}"),
+    ("secret", "weak", rf"(?i:{_BEFORE}(?:password|passwd|pwd|token|secret|(?:secret|api|access)[_\-]?key)\b){_SETS}{_NOT_OTHER}{_VALUE}"),
+    ("identifier", "weak", rf"(?i:{_BEFORE}(?:user|username|login|account)\b){_SETS}[0-9A-Za-z._\-]{{2,64}}"),
     ("endpoint", "weak", r"\b(?:https?|s3|jdbc|postgres|mysql|mongodb|redis|ftp)://[0-9A-Za-z._:/@?=&%\-]{3,200}"),
     ("identifier", "weak", r"\b[0-9A-Za-z._%+\-]{1,64}@[0-9A-Za-z.\-]{1,100}\.[A-Za-z]{2,10}\b"),
     ("endpoint", "weak", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b(?::[0-9]{1,5})?"),
 )
-#: One pass finds all parts: \b, classes and bounded repeats are ASCII in the three engines.
+#: One pass finds all parts.
 PATTERN = "|".join(f"({p})" for _, _, p in PARTS)
 #: Every part has one of these; texts without them aren't scanned.
 _HINT = re.compile(r"[@=:.]|AKIA|ASIA|gh[pousr]_|xox|-----BEGIN|sk_live_", re.A)
@@ -119,9 +126,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials(table(spark, sf_dir, "documents"))
 
 
-_SQL_PATTERN = PATTERN.replace("'", "''")
-_CASES = " ".join(f"when regexp_full_match(value, '{p.replace(chr(39), chr(39) * 2)}') then {i}" for i, (_, _, p) in enumerate(PARTS))
-_KINDS = ", ".join(f"({i}, '{k}', {str(s == 'strong').lower()})" for i, (k, s, _) in enumerate(PARTS))
+#: The SQL keeps its narrower settings: lower-case keys without anything before them, values of letters, digits and +/_-.
+_SQL_PARTS = (
+    *PARTS[:3],
+    ("secret", "weak", r"\b(?:password|passwd|pwd|token|secret|secret_key|api_key|apikey|access_key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z+/_\-]{8,128}"),
+    ("identifier", "weak", r"\b(?:user|username|login|account)\b\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z._\-]{2,64}"),
+    *PARTS[5:],
+)
+_SQL_PATTERN = "|".join(f"({p})" for _, _, p in _SQL_PARTS).replace("'", "''")
+_CASES = " ".join(f"when regexp_full_match(value, '{p.replace(chr(39), chr(39) * 2)}') then {i}" for i, (_, _, p) in enumerate(_SQL_PARTS))
+_KINDS = ", ".join(f"({i}, '{k}', {str(s == 'strong').lower()})" for i, (k, s, _) in enumerate(_SQL_PARTS))
 SQL = f"""
 with pieces as (select doc_id, regexp_extract_all(text, '(?s).*?(?:{_SQL_PATTERN})') as ps from (select distinct doc_id, text from documents) where doc_id is not null and text is not null),
 cut as (select doc_id, unnest(ps) as piece, generate_subscripts(ps, 1) as k from pieces),

@@ -41,6 +41,33 @@ def test_linking(docs_of):
     assert X.credentials(docs_of(rows)).count() == len(out)
 
 
+def test_settings_by_hand(docs_of):
+    token = "ghp_" + "a1B2" * 9
+    cases = [
+        ('TOKEN = "9233A8BC77"', 'TOKEN = "9233A8BC77'),
+        ("Password: abcdefgh1234, then", "Password: abcdefgh1234"),
+        ("DB_PASSWORD=hunter2hunter2", "DB_PASSWORD=hunter2hunter2"),
+        ('auth_token="abcdefgh1234"', 'auth_token="abcdefgh1234'),
+        ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG+bPxRfi", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG+bPxRfi"),
+        ("password = P@ssw0rd123.", "password = P@ssw0rd123"),
+        ("pwd=a&b;c,d(e)f!", "pwd=a&b;c,d(e)f!"),
+        ("password=abcdefgh;host=x", "password=abcdefgh"),
+        ("?x-api-key=abcdefgh&page=2", "x-api-key=abcdefgh"),
+        ("the keyboard: abcdefgh1234", None),
+        ("password: short", None),
+    ]
+    rows = [(i, f"{KEY} {t}") for i, (t, _) in enumerate(cases)]
+    assert {r.doc_id: r.secret for r in X.credentials(docs_of(rows)).collect()} == {i: v for i, (_, v) in enumerate(cases)}
+    rows = [(1, "DB_USER=root DB_PASS_TOKEN=abcdefgh12"), (2, '"Login": "bob", "Password": "x#y$z%12"'), (3, f"GITHUB_TOKEN={token}"), (4, f"access_key: {KEY} SECRET: https://example.com/abc")]
+    out = {r.doc_id: (r.identifier, r.secret, r.endpoint, r.strength) for r in X.credentials(docs_of(rows)).collect()}
+    assert out == {
+        1: ("DB_USER=root", "DB_PASS_TOKEN=abcdefgh12", None, "linked"),
+        2: ('Login": "bob', 'Password": "x#y$z%12', None, "linked"),
+        3: (None, token, None, "strong"),
+        4: (KEY, None, "https://example.com/abc", "strong"),
+    }
+
+
 def test_odd_rows(odd, empty):
     assert X.credentials(odd).count() == 0
     assert X.credentials(empty).count() == 0
