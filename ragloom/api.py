@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 from typing import Any
 
@@ -26,12 +28,45 @@ def evaluate(eval_set: EvalSet, rag: Callable[[str], Any], work: str, provider:
 
 
 def save(eval_set: EvalSet, path: str) -> None:
+    """The set as JSON, and beside it the table of its documents' hashes."""
+    spark, beside = eval_set.records.sparkSession, _hashes_of(path)
     writers.write_eval_set(eval_set.records, eval_set.chunks, eval_set.changelog, eval_set.head(), path)
+    if not eval_set.hashes:
+        _delete(spark, beside)
+    elif os.path.abspath(eval_set.hashes) != os.path.abspath(beside):
+        spark.read.parquet(eval_set.hashes).write.mode("overwrite").parquet(beside)
 
 
 def load(spark: SparkSession, path: str) -> EvalSet:
     records, chunks, changelog, head = readers.read_eval_set(spark, path)
-    return EvalSet(records, chunks, changelog, head["tier"], head["version"], head["metadata"] or {})
+    beside = _hashes_of(path)
+    files, at = _files(spark, beside)
+    return EvalSet(records, chunks, changelog, head["tier"], head["version"], head["metadata"] or {}, beside if files.exists(at) else "")
+
+
+def hashes(spark: SparkSession, eval_set: EvalSet) -> DataFrame:
+    """doc_id, hash of the documents that a set was made from; sets of other makers have them in their metadata."""
+    if eval_set.hashes:
+        return spark.read.parquet(eval_set.hashes)
+    held = json.loads(eval_set.metadata.get("doc_hashes") or "{}")
+    if not held:
+        raise ValueError("the set comes without hashes of its documents, so what changed can't be told")
+    return spark.createDataFrame(list(held.items()), "doc_id string, hash string")
+
+
+def _hashes_of(path: str) -> str:
+    return f"{path}.hashes"
+
+
+def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system of a path, and the path as it wants it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
 
 
 def compare(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -53,5 +88,4 @@ def estimate_cost(spark: SparkSession, docs_dir: str, tier: str = config.TIERS[1
 
 def clear_cache(spark: SparkSession, work: str) -> None:
     """Delete the replies kept below a work folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work}/replies")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{work}/replies")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import importlib
-import json
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -58,9 +57,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         quality.flagged(checks).show(truncate=False)
     elif a.command == "staleness":
         held = api.load(spark, a.set)
-        original = spark.createDataFrame(list(json.loads(held.metadata.get("doc_hashes") or "{}").items()), "doc_id string, hash string")
         records = held.records.select(F.col("id").alias("record_id"), "source_doc_ids")
-        versioning.stale(records, original, readers.doc_hashes(spark, a.docs)).show(truncate=False)
+        versioning.stale(records, api.hashes(spark, held), readers.doc_hashes(spark, a.docs)).show(truncate=False)
     elif a.command == "evaluate":
         results, verdicts = api.evaluate(api.load(spark, a.set), loaded(a.system), a.work, scoring_set=a.scoring)
         print(writers.results_summary(results))

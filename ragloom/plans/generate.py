@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,7 +25,7 @@ _WANTED = {
 
 @dataclass
 class EvalSet:
-    """Records, chunks and changes of a set with its version, tier and metadata."""
+    """Records, chunks and changes of a set with its version, tier and metadata, and where the table of its documents' hashes is."""
 
     records: DataFrame
     chunks: DataFrame
@@ -34,6 +33,7 @@ class EvalSet:
     tier: str = "medium"
     version: str = "1.0.0"
     metadata: dict = field(default_factory=dict)
+    hashes: str = ""
 
     def head(self) -> dict:
         return {name: getattr(self, name) for name in ("tier", "metadata", "version")}
@@ -177,10 +177,10 @@ def generate(spark: SparkSession, docs_dir: str, provider: Provider, work: str,
     )
     records.write.mode("overwrite").parquet(f"{work}/records")
     log = spark.createDataFrame([], readers.CHANGE)
-    hashes = json.dumps({r["doc_id"]: r["hash"] for r in readers.doc_hashes(spark, docs_dir).toLocalIterator()}) if n_docs <= 100_000 else ""
-    meta = {"docs_dir": docs_dir, "llm": provider.name, "num_source_docs": str(n_docs), "num_chunks": str(n_chunks), "chunking": strategy, "chunk_size": str(chunk_size), "chunk_overlap": str(chunk_overlap), "seed": str(seed), "doc_hashes": hashes}
+    readers.doc_hashes(spark, docs_dir).write.mode("overwrite").parquet(f"{work}/doc_hashes")
+    meta = {"docs_dir": docs_dir, "llm": provider.name, "num_source_docs": str(n_docs), "num_chunks": str(n_chunks), "chunking": strategy, "chunk_size": str(chunk_size), "chunk_overlap": str(chunk_overlap), "seed": str(seed)}
     shape = chunks.select(F.col("chunk_id").alias("id"), "doc_id", "text", "index", F.col("token_count").cast("int").alias("token_count"), F.create_map().cast("map<string,string>").alias("metadata"))
-    return EvalSet(spark.read.parquet(f"{work}/records"), shape, log, tier, "1.0.0", meta)
+    return EvalSet(spark.read.parquet(f"{work}/records"), shape, log, tier, "1.0.0", meta, f"{work}/doc_hashes")
 
 
 def _answered(reply: str) -> bool:

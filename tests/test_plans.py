@@ -140,6 +140,29 @@ def test_generate_and_evaluate(spark, corpus, tmp_path):
     assert "records" in (tmp_path / "r.html").read_text() and writers.set_summary(again.records).startswith("records:")
 
 
+def test_hashes_are_kept_beside_the_set_at_every_size(spark, corpus, tmp_path, capsys):
+    made = api.generate(spark, corpus, str(tmp_path / "work"), tier="minimal", size=3, pause=0)
+    assert "doc_hashes" not in made.metadata
+    path = str(tmp_path / "set.json")
+    api.save(made, path)
+    held = api.load(spark, path)
+    assert {tuple(r) for r in api.hashes(spark, held).collect()} == {tuple(r) for r in readers.doc_hashes(spark, corpus).collect()}
+    doc = held.records.select(F.explode("source_doc_ids")).first()[0]
+    spark.read.parquet(held.hashes).withColumn("hash", F.when(F.col("doc_id") == doc, "was another").otherwise(F.col("hash"))).write.parquet(str(tmp_path / "edited"))
+    held.hashes = str(tmp_path / "edited")
+    api.save(held, path)
+    api.save(api.load(spark, path), path)
+    cli.main(["staleness", path, corpus], spark)
+    said = capsys.readouterr().out
+    assert "modified" in said and "deleted" not in said
+    held.hashes = ""
+    api.save(held, path)
+    with pytest.raises(ValueError):
+        cli.main(["staleness", path, corpus], spark)
+    held.metadata["doc_hashes"] = json.dumps({doc: "was another"})
+    assert [tuple(r) for r in api.hashes(spark, held).collect()] == [(doc, "was another")]
+
+
 def test_cost(spark, corpus, capsys):
     cli.main(["estimate", corpus, "--tier", "minimal", "--size", "40"], spark)
     assert "40 questions" in capsys.readouterr().out
