@@ -4,16 +4,23 @@ Unit vectors of cosine c are at squared distance 2 - 2c. A rotation spreads the
 dimensions are split into blocks. The squared distance is the sum of the blocks' squared distances, so a pair within
 the limit T is within T x share in at least one block, for any shares that sum to one; a block's share is its part of
 the total energy. Each block is range-joined on a grid: a vector lives in the cell of its leading dimensions and asks
-the cells that its ball of radius sqrt(T x share) reaches, of two neighbouring cells one the other. The union of the blocks' candidates is verified on whole
-vectors. Nothing within the limit is lost, so recall is 1.
-
-Defined results: null vectors, null ids, vectors with a null, infinite or undefined entry and zero vectors have no
-duplicates. Vectors are compared with those of the most common length; others have none. Rows that repeat an id and a
-vector are one; an id with several vectors pairs through each. Identical vectors are pairs like any others.
+the cells that its ball of radius sqrt(T x share) reaches, of two neighbouring cells one the other; inside a cell the
+sides meet in the order of one more dimension, so that only stretches within the radius are compared. The union of the
+blocks' candidates is verified on whole vectors. Nothing within the limit is lost, so recall is 1.
+
+Equal vectors are one node from the start, however many rows have them, and nodes are what the join compares. The result
+has one row for each row of the table: its class (all that is reached over near pairs, named by its smallest id) and its
+number of links (how many other rows are within the limit), so it grows with the table and not with the pairs.
+
+Defined results: null ids, null vectors, vectors with a null, infinite or undefined entry, empty and zero vectors have no
+row. Vectors of different lengths are never near; those of each length are joined among themselves. Rows that repeat an
+id and a vector (at unit norm) are one; an id with several vectors has a row for each. The rotation and the shares are
+held for every length of vector that occurs.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,123 +29,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragloom.llm.components import connected
 from ragloom.llm.shared import cut, table
 
 COSINE = 0.95
 BLOCKS = 8
-#: Leading dimensions of a block that make its grid.
-GRID = 3
+#: Leading dimensions of a block that make its grid, and the width of its cells in radii.
+GRID, WIDTH = 3, 2.0
 #: Most vectors of a cell, and askers of it, that one task holds at a time.
 CELL = 4096
+#: Vectors of more dimensions are rotated in pieces of so many, chosen by a permutation.
+PIECE = 1024
+
+
+@functools.lru_cache(8)
+def _rotation(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(3)
+    return rng.permutation(dim), np.linalg.qr(rng.standard_normal((min(dim, PIECE),) * 2))[0].astype(np.float32)
+
+
+def rotated(x: np.ndarray) -> np.ndarray:
+    """Rows under an orthogonal map that depends on their length only."""
+    by, turn = _rotation(x.shape[1])
+    x = x[:, by]
+    whole = x.shape[1] // len(turn) * len(turn)
+    turned = (x[:, :whole].reshape(-1, len(turn)) @ turn).reshape(len(x), whole)
+    return np.concatenate([turned, x[:, whole:]], 1) if whole < x.shape[1] else turned
+
+
+def _edges(dim: int, blocks: int) -> np.ndarray:
+    return np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
 
 
-def _rotation(dim: int) -> np.ndarray:
-    return np.linalg.qr(np.random.default_rng(3).standard_normal((dim, dim)))[0]
+def _by_length(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The vectors of a batch, rotated, length by length, with other columns."""
+    v = batch.column("v")
+    sizes = np.diff(v.offsets.to_numpy())
+    for dim in np.unique(sizes).tolist():
+        where = np.flatnonzero(sizes == dim)
+        x = v.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        yield rotated(x), *(batch.column(c).to_numpy(zero_copy_only=False)[where] for c in columns)
 
 
-def _unit(docs: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v: distinct vectors of the most common length at unit norm."""
+def _units(docs: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """vec_id, v: distinct pairs of an id and a vector at unit norm."""
     rows = docs.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("norm", norm).where("norm > 0")
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    # Scaled by the largest entry first, whose square may be out of range.
+    rows = rows.withColumn("most", F.array_max(F.transform("v", F.abs))).where("most > 0")
+    rows = rows.select("vec_id", F.transform("v", lambda x: x / F.col("most")).alias("v"))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
     return rows.select("vec_id", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v")).distinct()
 
 
-def near_duplicate_vectors(docs: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int = BLOCKS) -> DataFrame:
-    """vec_a, vec_b, cosine of every pair vec_a < vec_b with at least that cosine."""
-    units = cut(_unit(docs, id_col, vec_col).withColumn("key", F.xxhash64("vec_id", "v")), "units")
-    lengths = units.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    dim = lengths[0]["n"] if lengths else 1
-    units = units.where(F.size("v") == dim)
+def near_pairs(nodes: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
+    """a, b: keys a < b of different vectors with at least that cosine; nodes: key, v (float arrays at unit norm)."""
     limit = 2 - 2 * cosine + 1e-6  # float entries
-    rotation = _rotation(dim).astype(np.float32)
-    edges = np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
-    n_blocks = len(edges) - 1
 
     def energies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(dim)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) @ rotation
-                total += (x.astype(np.float64) ** 2).sum(0)
-        yield pa.record_batch([pa.array([total.tolist()])], ["e"])
-
-    energy = units.select("v").mapInArrow(energies, "e array<double>").select(*(F.sum(F.col("e")[i]).alias(f"e{i}") for i in range(dim))).first()
-    by_dim = np.array([e or 0.0 for e in energy]) + 1e-12
-    shares = np.add.reduceat(by_dim, edges[:-1]) / by_dim.sum()
-    radii = np.sqrt(limit * shares)
+            for (x,) in _by_length(batch) if batch.num_rows else ():
+                cuts = _edges(x.shape[1], blocks)
+                total[x.shape[1]] = total.get(x.shape[1], 0) + np.add.reduceat((x.astype(np.float64) ** 2).sum(0), cuts[:-1])
+        rows = [(dim, b, e) for dim, es in total.items() for b, e in enumerate(es.tolist())]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["dim", "block", "e"])
+
+    # A row for each block of each length.
+    by_block = nodes.select("v").mapInArrow(energies, "dim int, block int, e double").groupBy("dim", "block").agg(F.sum("e").alias("e")).toPandas()
+    radii: dict[int, np.ndarray] = {}
+    for dim, rows in by_block.groupby("dim"):
+        e = rows.sort_values("block")["e"].to_numpy() + 1e-12
+        radii[int(dim)] = np.sqrt(limit * e / e.sum())
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each vector and block that lives in a cell, and one for each cell that it asks."""
+        """A row for each vector and block that lives in a cell, and one for each other cell that it asks."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) @ rotation
-            keys = batch.column("key").to_numpy()
-            for b in range(n_blocks):
-                part = np.ascontiguousarray(x[:, edges[b] : edges[b + 1]])
-                g = min(GRID, part.shape[1])
-                r = float(radii[b])
-                at = part[:, :g] / r
-                home = np.floor(at).astype(np.int64)
-                inside = at - home
-                for move in np.ndindex(*(3,) * g):
-                    step = np.array(move) - 1
-                    # Of two cells one asks the other, not both: steps whose first move goes up, and none at all.
-                    if next((d for d in step if d), 1) < 0:
-                        continue
-                    # Distance from the vector to the cell, in radii: 0 along dimensions in which it is at home.
-                    away = np.where(step == 0, 0, np.where(step > 0, 1 - inside, inside))
-                    asks = (away**2).sum(1) <= 1 + 1e-4
-                    which = np.flatnonzero(asks)
-                    if not len(which):
-                        continue
-                    cell = home[which] + step
-                    code = np.zeros(len(which), np.int64)
-                    for d in range(g):
-                        code = code * 1_000_003 + cell[:, d]
-                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(part.shape[1] * 4), len(which), [None, pa.py_buffer(part[which].tobytes())]).cast(pa.binary())
-                    columns = [pa.array(np.full(len(which), b, np.int32)), pa.array(code), pa.array(np.zeros(len(which), bool)), pa.array(np.full(len(which), not step.any())), pa.array(keys[which]), raw]
-                    yield pa.record_batch(columns, ["block", "cell", "lives", "home", "key", "part"])
-                    if not step.any():
-                        columns[2] = pa.array(np.ones(len(which), bool))
-                        yield pa.record_batch(columns, ["block", "cell", "lives", "home", "key", "part"])
-
-    spread = cut(units.select("key", "v").mapInArrow(blocked, "block int, cell long, lives boolean, home boolean, key long, part binary"), "cells")
-    counts = spread.groupBy("block", "cell").agg(F.count_if("lives").alias("homes"), F.count_if(~F.col("lives")).alias("askers")).where("homes > 0")
-    counts = counts.select("block", "cell", F.ceil(F.col("homes") / CELL).cast("int").alias("hs"), F.ceil(F.col("askers") / CELL).cast("int").alias("qs"))
-    # A crowded cell is split on both sides, every part of one meeting every part of the other.
-    placed = spread.join(counts, ["block", "cell"])
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("lives"), F.col("hs")).otherwise(F.col("qs"))).cast("int")
-    placed = placed.withColumn("own", own)
-    other = F.sequence(F.lit(0), F.when(F.col("lives"), F.col("qs")).otherwise(F.col("hs")) - 1)
-    placed = placed.select("block", "cell", "lives", "home", "key", "part", "own", F.explode(other).alias("other"))
-    placed = placed.withColumn("h", F.when(F.col("lives"), F.col("own")).otherwise(F.col("other"))).withColumn("q", F.when(F.col("lives"), F.col("other")).otherwise(F.col("own")))
+            for x, keys in _by_length(batch, "key") if batch.num_rows else ():
+                dim = x.shape[1]
+                cuts = _edges(dim, blocks)
+                for b, radius in enumerate(radii[dim].tolist()):
+                    part = np.ascontiguousarray(x[:, cuts[b] : cuts[b + 1]])
+                    g = min(GRID, part.shape[1])
+                    at = part[:, :g] / (WIDTH * radius)
+                    home = np.floor(at).astype(np.int64)
+                    inside = at - home
+                    for move in np.ndindex(*(3,) * g):
+                        step = np.array(move) - 1
+                        # Of two cells one asks the other, not both: steps whose first move goes up, and none at all.
+                        if next((d for d in step if d), 1) < 0:
+                            continue
+                        # Distance from the vector to the cell, in widths: 0 along dimensions in which it is at home.
+                        away = np.where(step == 0, 0, np.where(step > 0, 1 - inside, inside))
+                        which = np.flatnonzero((away**2).sum(1) <= (1 + 1e-4) / WIDTH**2)
+                        if not len(which):
+                            continue
+                        cell = home[which] + step
+                        code = np.zeros(len(which), np.int64)
+                        for d in range(g):
+                            code = code * 1_000_003 + cell[:, d]
+                        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(part.shape[1] * 4), len(which), [None, pa.py_buffer(part[which].tobytes())]).cast(pa.binary())
+                        columns = [pa.array(np.full(len(which), v, np.int32)) for v in (dim, b)] + [pa.array(code), pa.array(np.full(len(which), not step.any())), pa.array(keys[which]), raw]
+                        yield pa.record_batch(columns, ["dim", "block", "cell", "lives", "key", "part"])
+
+    at = ["dim", "block", "cell"]
+    spread = cut(nodes.select("key", "v").mapInArrow(blocked, "dim int, block int, cell long, lives boolean, key long, part binary"), "cells")
+    counts = spread.groupBy(*at).agg(F.count_if("lives").alias("homes"), F.count_if(~F.col("lives")).alias("askers")).where("homes > 0 and homes + askers > 1")
+    counts = counts.select(*at, F.ceil(F.col("homes") / CELL).cast("int").alias("hs"), F.ceil(F.col("askers") / CELL).cast("int").alias("qs"))
+    # A crowded cell is split on both sides, every part of one meeting every part of the other; q counts the parts of
+    # the askers from 0, and -1 - q those of the cell's own vectors, of which the earlier are asked by the later.
+    placed = spread.join(counts, at).withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("lives"), F.col("hs")).otherwise(F.col("qs"))).cast("int"))
+    own = F.col("own")
+    to = lambda h, q, asks: F.struct(h.cast("int").alias("h"), q.cast("int").alias("q"), F.lit(asks).alias("asks"))
+    upto = lambda a, b: F.when(F.lit(a) <= b, F.sequence(F.lit(a), b)).otherwise(F.array().cast("array<int>"))
+    asked = F.transform(upto(0, F.col("hs") - 1), lambda h: to(h, own, True))
+    own_asked = F.transform(upto(0, F.greatest("qs", F.lit(1)) - 1), lambda q: to(own, q, False))
+    others = F.transform(upto(0, F.col("hs") - 1), lambda k: F.when(k < own, to(k, -1 - own, True)).when(k > own, to(own, -1 - k, False)))
+    others = F.when(F.col("hs") > 1, F.filter(others, lambda t: t.isNotNull())).otherwise(F.array().cast("array<struct<h:int,q:int,asks:boolean>>"))
+    placed = placed.select(*at, "key", "part", F.explode(F.when(F.col("lives"), F.concat(own_asked, others)).otherwise(asked)).alias("t")).select(*at, "key", "part", "t.*")
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["block"].iloc[0])
-        lives = pdf["lives"].to_numpy()
+        r2 = float(radii[int(pdf["dim"].iloc[0])][int(pdf["block"].iloc[0])] ** 2 * (1 + 1e-4) + 1e-6)
         x = np.frombuffer(b"".join(pdf["part"]), np.float32).reshape(len(pdf), -1)
-        keys = pdf["key"].to_numpy()
-        h, q, hk, qk = x[lives], x[~lives], keys[lives], keys[~lives]
-        apart = ~pdf["home"].to_numpy()[~lives]
+        # In the order of the first dimension that is not in the grid.
+        axis = min(GRID, x.shape[1] - 1)
+        by = np.argsort(x[:, axis], kind="stable")
+        x, keys, asks = x[by], pdf["key"].to_numpy()[by], pdf["asks"].to_numpy()[by]
+        home, hk = x[~asks], keys[~asks]
+        reach, half = np.sqrt(r2), (home**2).sum(1, keepdims=True) / 2
+        # q . h - |q|^2 / 2 - |h|^2 / 2 + limit / 2 is not negative where the two are within the limit: one product a piece.
+        right = np.concatenate([home, np.ones_like(half), -half], 1).T.copy()
         out_a, out_b = [], []
-        for i in range(0, len(q), 1024):
-            piece = q[i : i + 1024]
-            d = (piece**2).sum(1)[:, None] + (h**2).sum(1)[None, :] - 2 * piece @ h.T
-            # At home every pair meets twice.
-            left, right = np.nonzero((d <= radii[b] ** 2 * (1 + 1e-4) + 1e-6) & (apart[i : i + 1024, None] | (qk[i : i + 1024, None] < hk[None, :])))
-            out_a.append(np.minimum(qk[i + left], hk[right]))
-            out_b.append(np.maximum(qk[i + left], hk[right]))
+        for q, qk, same in ((x[asks], keys[asks], False), (home, hk, True)):
+            if same and pdf["q"].iloc[0] != 0:
+                continue
+            left = np.concatenate([q, (r2 - (q**2).sum(1, keepdims=True)) / 2, np.ones((len(q), 1), np.float32)], 1).astype(np.float32)
+            for i in range(0, len(q), 512):
+                piece = q[i : i + 512, axis]
+                lo = i if same else np.searchsorted(home[:, axis], piece[0] - reach)
+                hi = np.searchsorted(home[:, axis], piece[-1] + reach, "right")
+                a, b = np.nonzero(left[i : i + 512] @ right[:, lo:hi] >= -1e-6)
+                if same:
+                    a, b = a[a < b], b[a < b]
+                ka, kb = qk[i + a], hk[lo + b]
+                out_a.append(np.minimum(ka, kb))
+                out_b.append(np.maximum(ka, kb))
         return pd.DataFrame({"a": np.concatenate(out_a or [[]]).astype(np.int64), "b": np.concatenate(out_b or [[]]).astype(np.int64)})
 
-    pairs = placed.groupBy("block", "cell", "h", "q").applyInPandas(joined, "a long, b long").distinct()
-    left = units.select(F.col("key").alias("a"), F.col("vec_id").alias("id_a"), F.col("v").alias("va"))
-    right = units.select(F.col("key").alias("b"), F.col("vec_id").alias("id_b"), F.col("v").alias("vb"))
+    pairs = placed.groupBy(*at, "h", "q").applyInPandas(joined, "a long, b long").distinct()
+    left = nodes.select(F.col("key").alias("a"), F.col("v").alias("va"))
+    right = nodes.select(F.col("key").alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    near = pairs.join(left, "a").join(right, "b").withColumn("cosine", F.round(dot, 6)).where((F.col("cosine") >= cosine) & (F.col("id_a") != F.col("id_b")))
-    return near.select(F.least("id_a", "id_b").alias("vec_a"), F.greatest("id_a", "id_b").alias("vec_b"), "cosine").groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    return pairs.join(left, "a").join(right, "b").where(F.round(dot, 6) >= cosine).select("a", "b")
+
+
+def near_duplicate_vectors(docs: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int = BLOCKS) -> DataFrame:
+    """vec_id, class_id (smallest id of all that are reached over near pairs), links (other rows within the limit)."""
+    units = cut(_units(docs, id_col, vec_col), "units")
+    nodes = units.groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    nodes = cut(nodes.withColumn("key", F.monotonically_increasing_id()), "nodes")  # numbers that stay as they are written
+    near = cut(near_pairs(nodes.select("key", "v"), cosine, blocks), "near")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = both.join(nodes.select(F.col("key").alias("b"), "n"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("around"))
+    rooted = nodes.drop("v").join(connected(near).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = cut(rooted.join(around, "key", "left").select("key", "root", "least", (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("links")), "rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("key", "class_id", "links")
+    told = nodes.select("key", "v").join(named, "key").select(F.xxhash64("v").alias("h"), "v", "class_id", "links")
+    # A vector that a third of all rows have meets its one node without a sort; adaptive execution splits its rows.
+    return units.withColumn("h", F.xxhash64("v")).join(told.hint("shuffle_hash"), ["h", "v"]).select("vec_id", "class_id", "links")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,8 +204,12 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-with u as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as v from embeddings)
-select vec_a, vec_b, cosine from (
-    select a.vec_id as vec_a, b.vec_id as vec_b, round(list_sum(list_transform(generate_series(1, len(a.v)), lambda i: a.v[i]::float::double * b.v[i]::float::double)), 6) as cosine
-    from u a join u b on a.vec_id < b.vec_id and len(a.v) = len(b.v)) where cosine >= {COSINE}
+with recursive sized as (select vec_id, list_transform(embedding, lambda x: x::double) as e, list_max(list_transform(embedding, lambda x: abs(x::double))) as most from embeddings
+    where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+scaled as (select vec_id, list_transform(e, lambda x: x / most) as e from sized where most > 0),
+u as (select row_number() over () as k, * from (select distinct vec_id, list_transform(e, lambda x: (x / sqrt(list_sum(list_transform(e, lambda y: y * y))))::float) as v from scaled)),
+near as (select a.k as a, b.k as b, b.vec_id as id_b from u a join u b on a.k <> b.k and len(a.v) = len(b.v)
+    where round(list_sum(list_transform(generate_series(1, len(a.v)), lambda i: a.v[i]::double * b.v[i]::double)), 6) >= {COSINE}),
+reach as (select k, k as at, vec_id as id from u union select r.k, n.b, n.id_b from reach r join near n on r.at = n.a)
+select u.vec_id, min(r.id) as class_id, (select count(*) from near n where n.a = u.k) as links from u join reach r using (k) group by u.k, u.vec_id
 """

@@ -6,9 +6,11 @@ executor shares, so a lost executor never takes a cut with it.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Letters, marks and numbers make words; Java, RE2 and the regex module read this class alike.
 WORD_CLASS = r"\p{L}\p{M}\p{N}"
+#: Where the tables are that ``cut`` wrote and nobody deleted yet.
+_PATHS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +40,43 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back, so that later steps neither repeat nor lose it."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS.add(path)
+    out.cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what ``cut`` returned; nothing that is still to be computed may read it."""
+    _PATHS.discard(df.cut_path)
+    _delete(df.sparkSession, df.cut_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``cut`` whose tables stay; all others that are written in the block are deleted at its end."""
+    before, kept = set(_PATHS), set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
+        kept.add(out.cut_path)
+        return out
+
+    yield keep
+    for path in _PATHS - before - kept:
+        _delete(spark, path)
+        _PATHS.discard(path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table that ``cut`` wrote for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+    _PATHS.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
