@@ -61,25 +61,38 @@ def _edges(dim: int, blocks: int) -> np.ndarray:
     return np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
 
 
-def _by_length(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """The vectors of a batch, rotated, length by length, with other columns."""
-    v = batch.column("v")
+def _lengths(v: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vector that a column without nulls has: the places, and the entries as a matrix."""
     sizes = np.diff(v.offsets.to_numpy())
     for dim in np.unique(sizes).tolist():
         where = np.flatnonzero(sizes == dim)
-        x = v.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        part = v if len(where) == len(v) else v.take(pa.array(where))
+        if dim:
+            yield where, part.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _by_length(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The vectors of a batch, rotated, length by length, with other columns."""
+    for where, x in _lengths(batch.column("v")):
         yield rotated(x), *(batch.column(c).to_numpy(zero_copy_only=False)[where] for c in columns)
 
 
 def _units(docs: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, v: distinct pairs of an id and a vector at unit norm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, x in _lengths(batch.column("v")) if batch.num_rows else ():
+                x = x.astype(np.float64)  # entries that are null are undefined here
+                most = np.abs(x).max(1)
+                some = np.isfinite(most) & (most > 0)
+                x = x[some] / most[some, None]  # by the largest entry first, whose square may be out of range
+                x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+                edges = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+                yield pa.record_batch([batch.column("vec_id").take(pa.array(where[some])), pa.ListArray.from_arrays(edges, pa.array(x.ravel()))], ["vec_id", "v"])
+
     rows = docs.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    # Scaled by the largest entry first, whose square may be out of range.
-    rows = rows.withColumn("most", F.array_max(F.transform("v", F.abs))).where("most > 0")
-    rows = rows.select("vec_id", F.transform("v", lambda x: x / F.col("most")).alias("v"))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    return rows.select("vec_id", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v")).distinct()
+    return rows.mapInArrow(run, "vec_id long, v array<float>").distinct()
 
 
 def near_pairs(nodes: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
@@ -179,8 +192,15 @@ def near_pairs(nodes: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -
     pairs = placed.groupBy(*at, "h", "q").applyInPandas(joined, "a long, b long").distinct()
     left = nodes.select(F.col("key").alias("a"), F.col("v").alias("va"))
     right = nodes.select(F.col("key").alias("b"), F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").where(F.round(dot, 6) >= cosine).select("a", "b")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (where, x), (_, y) in zip(_lengths(batch.column("va")), _lengths(batch.column("vb")), strict=True) if batch.num_rows else ():
+                dot = np.einsum("ij,ij->i", x.astype(np.float64), y.astype(np.float64))
+                good = pa.array(where[dot >= cosine - 5e-7])  # rounded to six digits
+                yield batch.select(["a", "b"]).take(good)
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(verified, "a long, b long")
 
 
 def near_duplicate_vectors(docs: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int = BLOCKS) -> DataFrame:
