@@ -6,8 +6,9 @@ equal values is still an unbiased estimate of the Jaccard similarity. The signat
 a band are verified on whole signatures; verified pairs make groups (connected components).
 
 Defined results: null texts, null ids and texts without a word are never duplicates. A text of fewer words than a
-shingle is one shingle. Rows that repeat an id are one document when the text is equal too, and otherwise each text
-counts for that id. The smallest id of a group stays.
+shingle is one shingle. Rows that repeat an id and a text are one document; rows that share an id but not the text are
+different ones, told apart by a hash of the text. Of a group the document of the smallest id stays, of several texts of
+that id the one of the smallest hash. Columns beside id and text don't matter, and of long texts every word counts.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm.components import connected
-from ragloom.llm.shared import buffers, cut, keyed, mix, normalised, slices, table, word_hashes, words
+from ragloom.llm.shared import buffers, cut, fresh, keyed, mix, named, normalised, slices, table, word_hashes, words
 
 SHINGLE = 5
 PERMUTATIONS = 96
@@ -74,17 +75,23 @@ def signatures(texts: pa.Array, shingle: int = SHINGLE, permutations: int = PERM
 
 
 def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key per band; a band takes its values from minima and maxima of different permutations."""
+    """One 64-bit key per band; a band takes its values from minima and maxima of different permutations.
+
+    Column j of the minima and column j of the maxima are of one permutation, so the maxima are moved by a third of a band.
+    """
     n, width = values.shape
     bands = width // rows
     keys = np.zeros((n, bands), np.uint64)
     for r in range(rows):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r * bands : (r + 1) * bands].astype(np.uint64) + np.uint64(1))
+        part = values[:, r * bands : (r + 1) * bands]
+        if r >= rows // 2:
+            part = np.roll(part, bands // 3, 1)
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1))
     return keys ^ mix(np.arange(bands, dtype=np.uint64) + np.uint64(1))
 
 
 def signed(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, sig (16 bits of each value), whole (a hash of the signature), bands."""
+    """doc_id, th (hash of the text), sig (16 bits of each value), whole (a hash of the signature), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,14 +105,16 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTAT
                 yield pa.record_batch(
                     [
                         part.column("doc_id").take(pa.array(some)),
+                        part.column("th").take(pa.array(some)),
                         pa.array([r.tobytes() for r in short], pa.binary()),
                         pa.array(whole),
                         pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel())),
                     ],
-                    ["doc_id", "sig", "whole", "bands"],
+                    ["doc_id", "th", "sig", "whole", "bands"],
                 )
 
-    return keyed(docs).mapInArrow(run, "doc_id long, sig binary, whole long, bands array<long>")
+    texts = keyed(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return texts.mapInArrow(run, "doc_id long, th long, sig binary, whole long, bands array<long>")
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -125,15 +134,15 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, duplicate_of: each document that goes, and the document of its group that stays.
+def copies(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+    """doc_id, th, duplicate_of: each document (id and hash of its text) that goes, and the id of its group that stays.
 
     Documents of equal signatures are one node from the start. In each band bucket all nodes are compared with the
     smallest; only a node that does not agree with it is compared with the others too. Nodes that agree with the
     smallest are in one group already, so pairs among them can't change a group: none is skipped that could.
     """
     sigs = cut(signed(docs, shingle, permutations, rows), "signatures")
-    nodes = cut(sigs.groupBy("whole").agg(F.min_by("sig", "doc_id").alias("sig"), F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("first")), "nodes")
+    nodes = cut(sigs.groupBy("whole").agg(F.min_by("sig", "doc_id").alias("sig"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
     buckets = nodes.select("whole", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("whole").alias("lead")).where("n > 1")
     members = cut(buckets.join(shared.select("bucket", "lead"), "bucket").where("whole <> lead"), "members")
@@ -144,10 +153,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     rest = rest.join(told.select("a", "b"), ["a", "b"], "left_anti")
     edges = told.unionByName(agreeing(rest, nodes, threshold))
     groups = connected(edges.select("a", "b"))
-    rooted = sigs.select("doc_id", "whole").join(groups.withColumnRenamed("node", "whole"), "whole", "left").select("doc_id", F.coalesce("root", "whole").alias("root"))
-    rooted = cut(rooted, "rooted")
-    keep = rooted.groupBy("root").agg(F.min("doc_id").alias("duplicate_of"), F.count("*").alias("n")).where("n > 1")
-    return rooted.join(keep.select("root", "duplicate_of"), "root").where("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct()
+    rooted = sigs.select("doc_id", "th", "whole").join(groups.withColumnRenamed("node", "whole"), "whole", "left").select("doc_id", "th", F.coalesce("root", "whole").alias("root"))
+    rooted = cut(rooted.distinct(), "rooted")
+    keep = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return rooted.join(keep.select("root", "first"), "root").where(F.struct("doc_id", "th") != F.col("first")).select("doc_id", "th", F.col("first.doc_id").alias("duplicate_of"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+    """doc_id, duplicate_of: ids with a text that goes, and the id that stays; texts of one id that are copies of each other have no row."""
+    return copies(docs, threshold, shingle, permutations, rows).where("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct()
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +169,15 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, every column as it was."""
-    gone = near_duplicates(docs).select(F.col("doc_id").alias("__gone")).distinct()
-    # One strategy at every size: texts are shuffled once and meet the hashed ids without a sort.
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
+    """One document of each group stays, every column as it was.
+
+    Defined results: a row goes for its id and its text together; of rows that repeat both one stays. Rows without an id, a
+    text or a word stay, all of them.
+    """
+    rows, key, th = named(docs)
+    gone = copies(docs).select(F.col("doc_id").alias(key), F.col("th").alias(th))
+    # One strategy at every size: rows are shuffled and sorted once, by id and hash, and the window takes them as they come.
+    left = rows.join(gone.hint("merge"), [key, th], "left_anti")
+    first = F.row_number().over(Window.partitionBy(key, th).orderBy(F.lit(1)))
+    (nth,) = fresh(rows, "nth")
+    return left.withColumn(nth, first).where(F.col(key).isNull() | (F.col(nth) == 1)).select(*docs.columns)

@@ -88,6 +88,29 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before each as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the id, and the hash of the text, by which results meet their rows.
+
+    Rows without an id or a text meet nothing; instead of the hash they get a number that spreads them over all tasks.
+    """
+    key, th = fresh(docs, "row_id", "text_hash")
+    whole = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096))
+    return docs.withColumn(key, F.when(whole, F.col("doc_id").cast("long"))).withColumn(th, F.when(whole, F.xxhash64(F.col("text").cast("string"))).otherwise(spread)), key, th
+
+
 # == # Vectorised text: one Arrow string array is one byte array with offsets, and everything below works on those.
 
 _WORD = np.zeros(256, bool)
