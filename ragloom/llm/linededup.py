@@ -8,15 +8,17 @@ intersection of two intervals of depth 2^k, one at the suffix and one w - 2^k li
 
 A run counts from ``min_words`` words. A maximal repeated run is exactly the union of its shortest qualifying windows,
 those that begin at each line and those that end at each line, so doubling goes on to the depth of the longest such
-window. Of the occurrences of a window the first, in the order of doc_id and line, stays; the others are deleted.
-Every deleted line has a copy that stays, in the same context.
+window. Of the occurrences of a window the first, in the order of doc_id and line, stays; the others are deleted,
+but for lines that they have in common with the first: of a passage that repeats itself without a break one whole
+window stays. Every deleted line has a copy that stays, in the same context.
 
 Lines that occur once end every run, and stretches of repeated lines with too few words hold none: both are left out
 before ranking, which changes no result.
 
 Defined results: a line's words are its single spaces plus one, so an empty line counts one. Null ids and null texts
-are left alone. Rows that repeat id and text are one document; rows that share an id but not the text are different
-documents, ordered by a hash of the text.
+are left alone. Rows that repeat id and text are one document and lose the same lines; rows that share an id but not the
+text are different documents, ordered by a hash of the text. Columns beside id and text don't matter, and texts of any
+length are taken whole.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.shared import cut, keyed, table
+from ragloom.llm.shared import cut, fresh, keyed, named, table
 
 MIN_WORDS = 50
+#: Ranks of second lines are numbered in so many slots, so that the lines after a common one are never one task.
+SLOTS = 1024
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def _at(ranks: str, i: Column) -> Column:
 
 
 def deleted_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, pos, w: windows of w lines from pos on that have an earlier occurrence."""
+    """doc_id, th, begin, end: the lines (end exclusive) of windows that have an earlier occurrence, less those of the first one."""
     lines = cut(_lines(docs), "lines")
     twice = lines.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
     repeated = lines.join(twice, ["h", "g"]).dropDuplicates(["doc_id", "th", "pos"])
@@ -66,7 +70,8 @@ def deleted_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         active.withColumn("ahead", F.when(F.col("begin") + min_words <= F.col("total"), ahead)).withColumn("behind", F.when(F.col("stop") >= min_words, behind)).select("doc_id", "th", "seg", "pos", "h", "g", "ahead", "behind"),
         "active",
     )
-    longest = active.agg(F.max(F.greatest("ahead", "behind")).alias("w")).first()["w"] or 0
+    known = active.agg(F.max(F.greatest("ahead", "behind")).alias("w"), F.count("*").alias("n")).first()
+    longest, n_active = known["w"] or 0, known["n"]
     ranked = active.join(_ranked(active), ["h", "g"]).select("doc_id", "th", "seg", "pos", "ahead", "behind", "rank")
     # One row for each stretch: places count from the stretch's first line.
     by = F.struct("pos", "rank", "ahead", "behind")
@@ -80,17 +85,24 @@ def deleted_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     depth = 1
     while depth <= max(longest, 1):
         here = rows.select("doc_id", "th", "first", "ranks", F.explode(F.filter("windows", lambda x: (x["w"] >= depth) & (x["w"] < 2 * depth))).alias("x"))
-        named = here.select(
+        windows_at = here.select(
             "doc_id", "th", (F.col("first") + F.col("x.i")).alias("pos"), F.col("x.w").alias("w"), _at("ranks", F.col("x.i").cast("int")).alias("a"), _at("ranks", (F.col("x.i") + F.col("x.w") - depth).cast("int")).alias("b")
         )
-        interval = named.groupBy("w", "a", "b").agg(F.min(F.struct("doc_id", "th", "pos")).alias("one"), F.count("*").alias("n")).where("n > 1").select("w", "a", "b", "one")
-        later = named.join(interval, ["w", "a", "b"]).where(F.struct("doc_id", "th", "pos") > F.col("one")).select("doc_id", "th", "pos", "w")
+        interval = windows_at.groupBy("w", "a", "b").agg(F.min(F.struct("doc_id", "th", "pos")).alias("one"), F.count("*").alias("n")).where("n > 1").select("w", "a", "b", "one")
+        later = windows_at.join(interval, ["w", "a", "b"]).where(F.struct("doc_id", "th", "pos") > F.col("one"))
+        same = (F.col("doc_id") == F.col("one.doc_id")) & (F.col("th") == F.col("one.th"))
+        begin = F.when(same, F.greatest("pos", F.col("one.pos") + F.col("w"))).otherwise(F.col("pos"))
+        later = later.select("doc_id", "th", begin.alias("begin"), (F.col("pos") + F.col("w")).alias("end"))
         found = later if found is None else found.unionByName(later)
         if 2 * depth > longest:
             break
         pairs = rows.select("doc_id", "th", "seg", F.posexplode("ranks").alias("i", "a"), "ranks").select("doc_id", "th", "seg", "i", "a", _at("ranks", F.col("i") + depth).alias("b"))
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-        finer = counted.select("a", "b", (F.col("a") + F.sum("n").over(Window.partitionBy("a").orderBy("b")) - F.col("n")).alias("rank"))
+        # The order of b inside a: a common line has many lines after it, so b is numbered in slots that are added up.
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("slot", F.floor(F.col("b") * SLOTS / (n_active + 1)))
+        inside = F.sum("n").over(Window.partitionBy("a", "slot").orderBy("b")) - F.col("n")
+        slots = counted.groupBy("a", "slot").agg(F.sum("n").alias("m"))
+        slots = slots.select("a", "slot", (F.sum("m").over(Window.partitionBy("a").orderBy("slot")) - F.col("m")).alias("before"))
+        finer = counted.withColumn("inside", inside).join(slots, ["a", "slot"]).select("a", "b", (F.col("a") + F.col("before") + F.col("inside")).alias("rank"))
         doubled = pairs.join(finer, ["a", "b"]).groupBy("doc_id", "th", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rank"))), lambda x: x["rank"]).alias("ranks"))
         rows = cut(windows.join(doubled, ["doc_id", "th", "seg"]), f"ranks{2 * depth}")
         depth *= 2
@@ -99,7 +111,7 @@ def deleted_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, gone: the places of the lines that go, in order."""
-    spans = deleted_windows(docs, min_words).select("doc_id", "th", F.explode(F.sequence("pos", F.col("pos") + F.col("w") - 1)).alias("p"))
+    spans = deleted_windows(docs, min_words).select("doc_id", "th", F.explode(F.sequence("begin", F.col("end") - 1)).alias("p"))
     return cut(spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.col("p").cast("int"))).alias("gone")), "gone")
 
 
@@ -131,8 +143,8 @@ spans as (select *, stop - nw as start,
 windows as (select doc_id, pos, ahead as w from spans where start + {MIN_WORDS} <= total
     union select doc_id, pos - behind + 1, behind from spans where stop >= {MIN_WORDS}),
 named as (select v.doc_id, v.pos, v.w, array_to_string(d.ls[v.pos : v.pos + v.w - 1], chr(10)) as content from windows v join docs d using (doc_id)),
-later as (select doc_id, pos, w, row_number() over (partition by w, content order by doc_id, pos) as k from named),
-gone as (select distinct doc_id, unnest(generate_series(pos, pos + w - 1)) as pos from later where k > 1),
+later as (select doc_id, pos, w, row_number() over same as k, first_value(doc_id) over same as first_doc, first_value(pos) over same as first_pos from named window same as (partition by w, content order by doc_id, pos)),
+gone as (select distinct doc_id, unnest(generate_series(case when doc_id = first_doc then greatest(pos, first_pos + w) else pos end, pos + w - 1)) as pos from later where k > 1),
 kept as (select l.doc_id, string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null) as text from lines l left join gone g using (doc_id, pos) group by l.doc_id)
 select doc_id, count(*) as n_deleted, string_agg((pos - 1)::varchar, ',' order by pos) as deleted_lines, any_value(coalesce(k.text, '')) as text
 from gone join kept k using (doc_id) group by doc_id
@@ -140,12 +152,18 @@ from gone join kept k using (doc_id) group by doc_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that go; a document of which nothing stays is a copy and goes. Other rows stay as they are."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    """Texts lose the lines that go; a document of which nothing stays is a copy and goes. Other rows stay as they are.
+
+    Defined results: rows without an id or a text stay as they are, as do documents that were empty before. Rows that
+    repeat id and text fare alike. n_chars, where there is one, follows the text.
+    """
+    rows, key, th = named(docs)
+    (places,) = fresh(rows, "gone")
+    gone = repeated_lines(docs).select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("gone").alias(places))
     # One strategy at every size: texts are shuffled once, by key, and meet the hashed places without a sort.
-    joined = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(without("text", "__gone"))
-    edited = joined.withColumn("text", text).where(F.col("__gone").isNull() | (F.length(F.trim("text")) > 0))
+    joined = rows.join(gone.hint("shuffle_hash"), [key, th], "left")
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(without("text", places))
+    edited = joined.withColumn("text", text).where(F.col(places).isNull() | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
-        edited = edited.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        edited = edited.withColumn("n_chars", F.when(F.col(places).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return edited.select(*docs.columns)
