@@ -126,8 +126,9 @@ _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts, end to end, and where each begins (one more than there are texts)."""
-    texts = texts.cast(pa.large_string())
+    """The UTF-8 bytes of all texts (or large binaries), end to end, and where each begins (one more than there are texts)."""
+    if not pa.types.is_large_binary(texts.type):
+        texts = texts.cast(pa.large_string())
     raw = texts.buffers()
     offsets = np.frombuffer(raw[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None else np.empty(0, np.uint8)
