@@ -6,33 +6,41 @@ of one for lexicon entries that end in ``*``; matches inside an exception phrase
 weight per 100 words, so that length doesn't matter.
 
 The lexicon has a fixed part and one fitted on labelled documents: words, and beginnings of words, that are common in
-toxic documents (8 at least, and one in 100) and all but absent from clean ones (one for 50 toxic). Fitting reads a sample of at most ``SAMPLE``
-labelled documents, chosen by a hash of their ids. Words and beginnings are counted and matched both folded and as written, that is
+toxic documents (8 at least, and one in 100) and all but absent from clean ones (one for 50 toxic), weighted by their
+log odds. Fitting reads a sample of at most ``SAMPLE`` labelled documents, chosen by a hash of their ids: toxic ones for up to half
+of it, as they are rare, and clean ones for the rest. Of documents with the same label and the same smallest shingle hash, which
+copies have, one is counted. Words and beginnings are counted and matched both folded and as written, that is
 with their accents, as a toxic word may differ from a clean one in an accent only. A fitted entry is folded if that form
 qualifies; else the form as written is taken if it does, and begins with ``=``.
 
-Defined results: null texts, null ids and texts without a word score nothing and are never toxic; repeated rows give
-repeated results; labels that are null or contradict each other are not used.
+Defined results: null texts, null ids and texts without a word score nothing and are never toxic; repeated rows, and
+rows that share an id, give a result each; labels that are null or contradict each other are not used; without labels the fixed
+lexicon is all there is; texts are matched whole, whatever their length. Columns beside id and text don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragloom.llm.minhash import shingle_hashes
 from ragloom.llm.shared import keyed, table
 
 #: Score (weight per 100 words) from which a document is toxic.
 THRESHOLD = 0.3
 #: Most labelled documents that the lexicon is fitted on.
 SAMPLE = 12_000
+#: Log odds of a fitted entry that weighs 1; weights are kept from 0.5 to 1.5.
+ODDS = 6.0
 
 LEXICON = {
     "idiot": 1.0, "idiots": 1.0, "moron": 1.0, "morons": 1.0, "scum": 1.0, "stupid": 0.8, "pathetic": 0.8, "worthless": 0.9, "disgusting": 0.8, "loser": 0.8, "losers": 0.8, "trash": 0.7, "clown": 0.7, "clowns": 0.7,
@@ -129,7 +137,14 @@ class Matcher:
                             spared.append((begin, last))
                     elif (whole or prefix) and weight > found.get(begin, (0.0, ""))[0]:
                         found[begin] = (weight, term)
-        return sorted((at, *hit) for at, hit in found.items() if not any(lo <= at <= hi for lo, hi in spared))
+        out, reach, k = [], -1, 0
+        spared.sort()
+        for at in sorted(found):  # both in order, so each exception is looked at once
+            while k < len(spared) and spared[k][0] <= at:
+                reach, k = max(reach, spared[k][1]), k + 1
+            if at > reach:
+                out.append((at, *found[at]))
+        return out
 
 
 def rate(matcher: Matcher, text: str) -> tuple[int, list[tuple[int, float, str]], float]:
@@ -143,13 +158,21 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
     """The fixed lexicon and what the labelled sample adds."""
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     told = told.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
-    # Toxic documents are rare: they are drawn first for half of the sample, and clean ones fill it up.
-    drawn = told.withColumn("h", F.xxhash64("doc_id"))
-    drawn = drawn.where("toxic = 1").orderBy("h", "doc_id").limit(sample // 2).unionByName(drawn.where("toxic = 0").orderBy("h", "doc_id").limit(sample // 2))
+    hashed = told.withColumn("h", F.xxhash64("doc_id"))
+    some = hashed.where("toxic = 1").orderBy("h", "doc_id").limit(sample // 2)
+    drawn = some.unionByName(hashed.where("toxic = 0").orderBy("h", "doc_id").limit(sample - some.count()))
     rows = keyed(docs).join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id")
-    # Copies would bring up the rare words of one document: of texts with the same longest word one is counted.
-    longest = F.array_max(F.transform(F.split("text", r"[^\p{L}]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    rows = rows.groupBy(longest.alias("longest"), "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
+
+    # Copies would bring up the rare words of one document.
+    @F.pandas_udf("long")
+    def smallest(texts: pd.Series) -> pd.Series:
+        hashed, first = shingle_hashes(pa.array(texts, pa.string()))
+        some, out = np.flatnonzero(np.diff(first)), np.zeros(len(texts), np.uint64)
+        if len(some):
+            out[some] = np.minimum.reduceat(hashed, first[some])
+        return pd.Series(out.view(np.int64))
+
+    rows = rows.groupBy(smallest("text").alias("least"), "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter[str] = Counter()
@@ -165,28 +188,33 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
         yield pa.record_batch([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
     counted = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    told = counted.where("toxic >= 8 and 50 * clean <= toxic or term = ''").select("term", "toxic").collect()  # terms of a bounded sample
-    found = {r["term"]: r["toxic"] for r in told}
-    least = found.pop("", 0) / 100
-    good = {t: n for t, n in found.items() if n >= least}
-    folded = chosen({t: n for t, n in good.items() if not t.startswith("=")})
-    written = chosen({t[1:]: n for t, n in good.items() if t.startswith("=")})
-    return LEXICON | folded | {"=" + t: w for t, w in written.items() if not _covered(t, folded)}
+    return LEXICON | lexicon_of({r["term"]: (r["toxic"], r["clean"]) for r in counted.where("toxic >= 8 and 50 * clean <= toxic or term = ''").collect()})  # terms of a bounded sample
+
+
+def lexicon_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Entries and their weights from the numbers of toxic and clean documents that have each term; the term "" has the totals."""
+    n_toxic, n_clean = counts.get("", (0, 0))
+    good = {t: n for t, n in counts.items() if t and n[0] >= 8 and 50 * n[1] <= n[0] and 100 * n[0] >= n_toxic}
+    folded = chosen({t: n[0] for t, n in good.items() if not t.startswith("=")})
+    written = chosen({t[1:]: n[0] for t, n in good.items() if t.startswith("=")})
+    picked = [*folded, *("=" + t for t in written if not _covered(t, folded))]
+    odds = lambda n, of: math.log((n + 0.5) / (of - n + 0.5))
+    return {t: round(min(1.5, max(0.5, (odds(good[t][0], n_toxic) - odds(good[t][1], n_clean)) / ODDS)), 3) for t in picked}
 
 
-def _covered(term: str, folded: dict[str, float]) -> bool:
+def _covered(term: str, folded: set[str]) -> bool:
     """Whether folded entries match all that a term as written does."""
     stem = fold(term.rstrip("*"))
     return stem in folded and not term.endswith("*") or any(stem[:n] + "*" in folded for n in range(4, len(stem) + 1))
 
 
-def chosen(good: dict[str, int]) -> dict[str, float]:
+def chosen(good: dict[str, int]) -> set[str]:
     """Of terms that qualify: beginnings that gather more documents than each word under them, else the words.
 
     A beginning stands for the words under it only if those that qualify by themselves are not all there is to it.
     """
     heads = {t for t in good if t.endswith("*")}
-    kept: dict[str, float] = {}
+    kept: set[str] = set()
     for t in sorted(good, key=lambda t: (len(t), t)):
         stem = t.rstrip("*")
         if any(stem[:n] + "*" in kept for n in range(4, len(stem) + (t not in heads))):
@@ -195,7 +223,7 @@ def chosen(good: dict[str, int]) -> dict[str, float]:
             under = [w for w in good if w not in heads and w.startswith(stem)]
             if len(under) < 3:
                 continue
-        kept[t] = 1.0
+        kept.add(t)
     return kept
 
 
@@ -231,7 +259,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that reach the threshold go, every other row stays as it is.
 
-    Each row is decided by itself, so nothing is shuffled.
+    Each row is decided by itself, so nothing is shuffled. Defined results: rows without a text or a word stay; rows
+    without an id are decided by their text like all others; repeated rows fare alike.
     """
     lexicon = fitted(spark, docs, table(spark, sf_dir, "labels"))
 

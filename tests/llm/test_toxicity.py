@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from ragloom.llm import toxicity as X
@@ -50,6 +53,52 @@ def test_the_text_as_written_keeps_its_places():
         assert len(folded) == len(written) and folded == X.fold(text)
 
 
+def naive(lexicon, exceptions, text):
+    """Places and terms by looking at every place of both forms."""
+    folded, written = X.forms(text)
+    found, spared = {}, set()
+    for at in range(len(folded)):
+        if at and folded[at - 1].isalnum():
+            continue
+        for phrase in exceptions:
+            p = X.fold(phrase)
+            if folded.startswith(p, at) and not folded[at + len(p) : at + len(p) + 1].isalnum():
+                spared.update(range(at, at + len(p)))
+        for form, mark in ((folded, False), (written, True)):
+            for term, weight in lexicon.items():
+                stem = term.rstrip("*")
+                if stem.startswith("=") != mark:
+                    continue
+                stem = X.forms(stem[1:])[1] if mark else X.fold(stem)
+                whole = not form[at + len(stem) : at + len(stem) + 1].isalnum()
+                if form.startswith(stem, at) and (whole or term.endswith("*")) and weight > found.get(at, (0, ""))[0]:
+                    found[at] = (weight, term)
+    return [(at, *hit) for at, hit in sorted(found.items()) if at not in spared]
+
+
+def test_matches_against_a_naive_matcher():
+    rng = random.Random(5)
+    lexicon = {"ab": 1.0, "abc*": 0.7, "=bé": 0.9, "=ca*": 0.8, "cab": 1.2, "b": 0.4}
+    exceptions = ("ab c", "b a", "cab b")
+    matcher = X.Matcher(lexicon, exceptions)
+    for _ in range(3000):
+        text = "".join(rng.choice("aabbcé  A8@!") for _ in range(rng.randint(0, 40)))
+        assert matcher.matches(*X.forms(text)) == naive(lexicon, exceptions, text), text
+
+
+def test_many_matches_and_exceptions_are_linear():
+    m = X.Matcher(X.LEXICON)
+    began = time.time()
+    assert len(m.matches(X.fold("trash can idiot " * 60_000))) == 60_000
+    assert time.time() - began < 10
+
+
+def test_weights_follow_the_odds():
+    got = X.lexicon_of({"": (1000, 10_000), "sure": (400, 0), "rare": (12, 0), "often": (60, 1), "both": (60, 30), "few": (7, 0)})
+    assert set(got) == {"sure", "rare", "often"} and got["sure"] > got["often"] and got["sure"] > got["rare"] and all(0.5 <= w <= 1.5 for w in got.values())
+    assert X.lexicon_of({}) == {}
+
+
 def test_odd_rows(spark, odd, empty, tmp_path):
     assert X.toxic_documents(odd, X.LEXICON).count() == 0
     assert X.toxic_documents(empty, X.LEXICON).count() == 0
