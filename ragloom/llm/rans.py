@@ -3,11 +3,13 @@
 Texts are tokenised once, whole, into blocks of whole documents. Counts of tokens over all documents make one
 frequency table, scaled to 2 ** BITS, that all blocks share. A block is encoded by itself with ``LANES`` interleaved
 states: token i belongs to lane i % LANES, and one vectorised step moves all lanes by one token. Each block carries its
-documents and their lengths, a checksum of the tokens, and checkpoints (all states and the place in the stream) every
-``CHECKPOINT`` tokens, so that blocks, and parts of blocks, are decoded in parallel.
+documents and their lengths, a checksum of the tokens, and checkpoints (all states, the place in the stream and a checksum
+of the tokens up to the next) every ``CHECKPOINT`` tokens. Every part from one checkpoint to the next is decoded and
+checked by itself, so the parts of a block are decoded in parallel.
 
 Defined results: null texts and ids are left out; an empty text is a document of length 0; repeated rows are encoded
-as often as they occur; a document longer than a block is a block of its own; an empty table gives the table row alone.
+as often as they occur, and rows that share an id one by one; a document longer than a block is a block of its own; an empty
+table gives the table row alone. Columns beside id and text don't matter. A part or block whose checksum fails raises.
 """
 
 from __future__ import annotations
@@ -217,7 +219,7 @@ def decode(payload: bytes, mark: tuple[int, int, bytes], end: int, shared: Table
     return out
 
 
-_COLUMNS = "block long, doc_ids array<long>, lengths array<long>, n_tokens long, crc long, checkpoints array<struct<token:long,word:long,states:binary>>, payload binary"
+_COLUMNS = "block long, doc_ids array<long>, lengths array<long>, n_tokens long, crc long, checkpoints array<struct<token:long,word:long,states:binary,crc:long>>, payload binary"
 
 
 def encoded(docs: DataFrame, path: str = TOKENIZER, block: int = BLOCK, lanes: int = LANES, checkpoint: int = CHECKPOINT) -> DataFrame:
@@ -247,6 +249,8 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, block: int = BLOCK, lanes: i
                 raw = batch.column("tokens")[i].as_py()
                 tokens = np.frombuffer(raw, "<u4")
                 payload, marks = encode(tokens, sent.value, lanes, checkpoint)
+                ends = [t for t, _, _ in marks[1:]] + [len(tokens)] * bool(marks)
+                told = [{"token": t, "word": w, "states": s, "crc": zlib.crc32(raw[4 * t : 4 * end])} for (t, w, s), end in zip(marks, ends, strict=True)]
                 yield pa.record_batch(
                     [
                         batch.column("block").slice(i, 1),
@@ -254,7 +258,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, block: int = BLOCK, lanes: i
                         batch.column("lengths").slice(i, 1),
                         pa.array([len(tokens)]),
                         pa.array([zlib.crc32(raw)]),
-                        pa.array([[{"token": t, "word": w, "states": s} for t, w, s in marks]], pa.list_(pa.struct([("token", pa.int64()), ("word", pa.int64()), ("states", pa.binary())]))),
+                        pa.array([told], pa.list_(pa.struct([("token", pa.int64()), ("word", pa.int64()), ("states", pa.binary()), ("crc", pa.int64())]))),
                         pa.array([payload], pa.binary()),
                     ],
                     ["block", "doc_ids", "lengths", "n_tokens", "crc", "checkpoints", "payload"],
@@ -264,28 +268,48 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, block: int = BLOCK, lanes: i
     return blocks.mapInArrow(run, _COLUMNS).unionByName(head)
 
 
-def decoded(blocks: DataFrame) -> DataFrame:
-    """doc_id, tokens of every document; a block whose checksum fails raises."""
+def decoded_parts(blocks: DataFrame) -> DataFrame:
+    """block, part, tokens (uint32, little-endian) of every part, each decoded from its own stretch of the stream."""
     raw = blocks.where("block = -1").select("payload").first()
     if raw is None:
         raise ValueError("the row with the frequency table is missing")
-    sent = blocks.sparkSession.sparkContext.broadcast(bytes(raw["payload"]))
+    sent = blocks.sparkSession.sparkContext.broadcast(bytes(raw["payload"]))  # as many entries as the vocabulary has tokens
+    each = blocks.where("block >= 0").select("block", "n_tokens", "checkpoints", "payload", F.posexplode("checkpoints").alias("part", "mark"))
+    after = F.get("checkpoints", F.col("part") + 1)
+    stop = F.coalesce(after["word"], F.floor(F.length("payload") / 4))
+    stretch = F.substring("payload", (4 * F.col("mark.word") + 1).cast("int"), (4 * (stop - F.col("mark.word"))).cast("int"))
+    each = each.select("block", "part", "mark.states", "mark.crc", (F.coalesce(after["token"], "n_tokens") - F.col("mark.token")).alias("n"), stretch.alias("stretch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = Table.from_bytes(sent.value)
         slots = np.repeat(np.arange(len(shared.tokens)), shared.freqs.astype(np.int64))
+        for batch in batches:
+            blobs = []
+            for row in batch.to_pylist():
+                blobs.append(decode(row["stretch"], (0, 0, row["states"]), row["n"], shared, slots).astype("<u4").tobytes())
+                if zlib.crc32(blobs[-1]) != row["crc"]:
+                    raise ValueError(f"part {row['part']} of block {row['block']} is damaged")
+            yield pa.record_batch([batch.column("block"), batch.column("part"), pa.array(blobs, pa.binary())], ["block", "part", "tokens"])
+
+    # The parts of a block go to different tasks.
+    return each.repartition("block", "part").mapInArrow(run, "block long, part int, tokens binary")
+
+
+def decoded(blocks: DataFrame) -> DataFrame:
+    """doc_id, tokens of every document."""
+    parts = decoded_parts(blocks).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "tokens"))).alias("parts"))
+    whole = blocks.where("block >= 0").select("block", "doc_ids", "lengths", "crc").join(parts, "block", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                marks = [(m["token"], m["word"], m["states"]) for m in row["checkpoints"]]
-                ends = [m[0] for m in marks[1:]] + [row["n_tokens"]]
-                parts = [decode(row["payload"], m, end, shared, slots) for m, end in zip(marks, ends, strict=True)]
-                tokens = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-                if zlib.crc32(tokens.astype("<u4").tobytes()) != row["crc"]:
+                raw = b"".join(p["tokens"] for p in row["parts"] or [])
+                if zlib.crc32(raw) != row["crc"]:
                     raise ValueError(f"block {row['block']} is damaged")
                 edges = np.concatenate([[0], np.cumsum(row["lengths"])]).astype(np.int32)
-                yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(edges, pa.array(tokens.astype(np.int32)))], ["doc_id", "tokens"])
+                yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(edges, pa.array(np.frombuffer(raw, "<u4").astype(np.int32)))], ["doc_id", "tokens"])
 
-    return blocks.where("block >= 0").mapInArrow(run, "doc_id long, tokens array<int>")
+    return whole.mapInArrow(run, "doc_id long, tokens array<int>")
 
 
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
