@@ -11,7 +11,9 @@ Ties: pieces of equal length are packed in the order of (a 12-bit hash of the id
 equal room the one that has had it longest is filled first.
 
 Defined results: a text's length is its number of white-space separated words; null texts and ids, and texts without
-a word, take no room and are not packed; repeated rows are packed as often as they occur; full pieces have bins of their own.
+a word, take no room and are not packed; repeated rows are packed as often as they occur; texts that share an id are told
+apart by text_hash, the 64-bit hash in hexadecimal digits; full pieces have bins of their own, so a text of any length is
+packed whole. Columns beside id and text don't matter.
 """
 
 from __future__ import annotations
@@ -137,8 +139,7 @@ def plan(histogram: dict[int, int], capacity: int) -> Iterator[tuple[int, int, i
 
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     """doc_id, th, copy, piece, begin, length: full pieces and rests."""
-    trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
-    n_words = F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, r"\s+"))).otherwise(0)
+    n_words = F.regexp_count("text", F.lit(r"\S+"))
     counted = keyed(docs).select("doc_id", F.xxhash64("text").alias("th"), n_words.cast("long").alias("n")).where("n > 0")
     counted = counted.groupBy("doc_id", "th", "n").agg(F.count("*").alias("copies")).select("doc_id", "th", "n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     cutted = counted.select("doc_id", "th", "copy", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).alias("piece"))
@@ -146,7 +147,7 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, begin (first word of the text), length, bin, at (first word of the bin) of every piece."""
+    """doc_id, text_hash, piece, begin (first word of the text), length, bin, at (first word of the bin) of every piece."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
     all_pieces = cut(pieces(docs, capacity).withColumn("slot", slot), "pieces")
     sizes = all_pieces.groupBy("length", "slot").agg(F.count("*").alias("n"))
@@ -176,7 +177,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     away = F.col("k") - F.col("first")
     met = numbered.join(steps, ["length", "run"]).where((away >= 0) & (away < F.col("n")))
     bin_, at = F.col("bin") + F.floor(away / F.col("each")), F.col("at") + away % F.col("each") * F.col("length")
-    return met.select("doc_id", "piece", "begin", "length", bin_.alias("bin"), at.alias("at"))
+    return met.select("doc_id", F.lower(F.hex("th")).alias("text_hash"), "piece", "begin", "length", bin_.alias("bin"), at.alias("at"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,5 +185,5 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packing of what is left."""
+    """The packing of what is left: a row for each piece, as ``packed`` defines it."""
     return packed(docs)

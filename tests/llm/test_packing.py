@@ -76,5 +76,6 @@ def test_documents(docs_of):
 
 def test_odd_rows(odd, empty):
     out = P.packed(odd).collect()
+    assert len({r.text_hash for r in out if r.doc_id == 8}) == 2  # two texts of one id
     assert {r.doc_id for r in out} == {4, 5, 6, 7, 8, 9}
     assert P.packed(empty).count() == 0
