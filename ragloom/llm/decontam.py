@@ -7,30 +7,37 @@ test phrase (each run of ``n`` words of an item, or the whole item where it is s
 searched backwards through the wavelet tree, occurrences are located by sampled suffix positions, and overlapping or
 touching ones become one span.
 
+Every task holds the phrases of a block of items of about ``ITEM_BYTES``; a larger benchmark is searched in several
+blocks, one run over the texts for each, whose spans are merged.
+
 Defined results: null texts, null ids and null items hold nothing; items with fewer than ``least`` words are not
 searched, as they would match by chance; repeated rows give each their spans, once for each distinct pair of id and
-text.
+text; texts that share an id are told apart by their MD5. Texts are searched whole; columns beside id and text don't matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm.fmindex import FMIndex
-from ragloom.llm.shared import WORD_CLASS, buffers, keyed, normalised, slices, table, word_hashes, words
+from ragloom.llm.shared import WORD_CLASS, buffers, cut, fresh, keyed, named, normalised, slices, table, word_hashes, words
 
 #: Words in a phrase, and the fewest for an item that is shorter than a phrase.
 PHRASE = 13
 LEAST = 8
 #: Bytes of text in a shard: the index of one is all that a task keeps in memory.
 SHARD_BYTES = 8 << 20
+#: Bytes of test items that a task holds at once.
+ITEM_BYTES = 32 << 20
 
 _WORDS = regex.compile(rf"[{WORD_CLASS}]+")
 
@@ -116,7 +123,7 @@ def _next(flags: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def contamination(docs: DataFrame, items: list[str], n: int = PHRASE, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, th (hash of the text), span (from 0), first_word, end_word, begin_char, end_char; ends are exclusive."""
+    """doc_id, th (hash of the text), text_md5, span (from 0), first_word, end_word, begin_char, end_char; ends are exclusive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items, n, least)
@@ -125,34 +132,59 @@ def contamination(docs: DataFrame, items: list[str], n: int = PHRASE, least: int
             for lo, hi in slices(offsets, shard_bytes):
                 part = batch.slice(lo, hi - lo)
                 at, first, end = occurrences(part.column("text"), phrases)
-                out: dict[str, list] = {c: [] for c in ("doc_id", "th", "span", "first_word", "end_word", "begin_char", "end_char")}
+                out: dict[str, list] = {c: [] for c in ("doc_id", "th", "text_md5", "span", "first_word", "end_word", "begin_char", "end_char")}
                 for k in np.unique(at):
-                    ranges = [m.span() for m in _WORDS.finditer(part.column("text")[k].as_py())]
+                    text = part.column("text")[k].as_py()
+                    ranges, md5 = [m.span() for m in _WORDS.finditer(text)], hashlib.md5(text.encode()).hexdigest()
                     for i, j in enumerate(np.flatnonzero(at == k)):
                         a, b = int(first[j]), int(end[j])
-                        for c, v in zip(out, (part.column("doc_id")[k].as_py(), part.column("th")[k].as_py(), i, a, b, ranges[a][0], ranges[b - 1][1]), strict=True):
+                        for c, v in zip(out, (part.column("doc_id")[k].as_py(), part.column("th")[k].as_py(), md5, i, a, b, ranges[a][0], ranges[b - 1][1]), strict=True):
                             out[c].append(v)
-                yield pa.record_batch([pa.array(v, pa.int64()) for v in out.values()], list(out))
+                yield pa.record_batch([pa.array(v, pa.string() if c == "text_md5" else pa.int64()) for c, v in out.items()], list(out))
 
     texts = keyed(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return texts.mapInArrow(run, "doc_id long, th long, span long, first_word long, end_word long, begin_char long, end_char long")
+    return texts.mapInArrow(run, "doc_id long, th long, text_md5 string, span long, first_word long, end_word long, begin_char long, end_char long")
+
+
+def item_blocks(spark: SparkSession, sf_dir: str, most: int | None = None) -> Iterator[list[str]]:
+    """The distinct test items in blocks of about ``most`` bytes, by a hash."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (most or ITEM_BYTES)))
+    blocked = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)))
+    for k in range(n):
+        yield [r["text"] for r in blocked.where(F.col("block") == k).collect()]
 
 
-def items_of(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The test items; benchmarks are fixed sets, and every task needs all of them."""
-    return [r["text"] for r in table(spark, sf_dir, "benchmark").select("text").where("text is not null").collect()]
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """Spans of several blocks of items as if they had been searched at once."""
+    if len(parts) == 1:
+        return parts[0]
+    text = Window.partitionBy("doc_id", "th").orderBy("first_word", "end_word")
+    rows = reduce(DataFrame.unionByName, parts).distinct()
+    reach = F.max("end_word").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.withColumn("new", F.when(F.col("first_word") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("doc_id", "th", "text_md5", "run").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("begin_char").alias("begin_char"), F.max("end_char").alias("end_char"))
+    return whole.select("doc_id", "th", "text_md5", (F.col("run") - 1).alias("span"), "first_word", "end_word", "begin_char", "end_char")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), items_of(spark, sf_dir)).drop("th").distinct()
+    docs = table(spark, sf_dir, "documents")
+    return merged([contamination(docs, items) for items in item_blocks(spark, sf_dir)]).drop("th").distinct()
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans are cut out of texts; every row stays.
 
-    Each text is decided by itself, so nothing is shuffled.
+    Each text is decided by itself, so nothing is shuffled; only the spans of several blocks of items meet their texts by a join.
+
+    Defined results: rows without a text stay as they are; rows without an id are searched by their text like all others (but
+    for a benchmark of several blocks, where they stay as they are); repeated rows, and rows that share an id, are edited one by
+    one; a text of which nothing stays is an empty text. n_chars, where there is one, follows the text.
     """
-    items = items_of(spark, sf_dir)
+    blocks = list(item_blocks(spark, sf_dir))
+    if len(blocks) > 1:
+        return _cut_out(docs, merged([contamination(docs, items) for items in blocks]))
+    items = blocks[0]
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -180,6 +212,26 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return edited.select(*docs.columns)
 
 
+def _cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    rows, key, th = named(docs)
+    (places,) = fresh(rows, "spans")
+    by_text = cut(spans.groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.array_sort(F.collect_list(F.array("begin_char", "end_char"))).alias(places)), "spans")
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, spans, strict=True):
+            for begin, end in list(found if found is not None and text is not None else [])[::-1]:
+                text = text[:begin] + text[end:]
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    edited = rows.join(by_text.hint("shuffle_hash"), [key, th], "left").withColumn("text", cleaned(F.col("text").cast("string"), places))
+    if "n_chars" in docs.columns:
+        edited = edited.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return edited.select(*docs.columns)
+
+
 SQL = rf"""
 with pieces as (select doc_id, regexp_extract_all(text, '[^{WORD_CLASS}]*[{WORD_CLASS}]+') as ps from documents where doc_id is not null and text is not null),
 cut as (select doc_id, unnest(ps) as piece, generate_subscripts(ps, 1) as k from pieces),
@@ -195,6 +247,6 @@ hits as (select doc_id, k, max(k + n) as stop from grams join phrases using (n,
 edges as (select *, max(stop) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding) as reach from hits),
 runs as (select *, sum(case when reach is null or k > reach then 1 else 0 end) over (partition by doc_id order by k) as run from edges),
 spans as (select doc_id, run - 1 as span, min(k) as first_word, max(stop) as end_word from runs group by doc_id, run)
-select s.doc_id, s.span::bigint as span, s.first_word, s.end_word, (a.stop - a.size)::bigint as begin_char, b.stop as end_char
-from spans s join tokens a on a.doc_id = s.doc_id and a.k = s.first_word join tokens b on b.doc_id = s.doc_id and b.k = s.end_word - 1
+select s.doc_id, d.md5 as text_md5, s.span::bigint as span, s.first_word, s.end_word, (a.stop - a.size)::bigint as begin_char, b.stop as end_char
+from spans s join (select doc_id, md5(text) as md5 from documents) d using (doc_id) join tokens a on a.doc_id = s.doc_id and a.k = s.first_word join tokens b on b.doc_id = s.doc_id and b.k = s.end_word - 1
 """

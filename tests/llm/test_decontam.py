@@ -80,3 +80,19 @@ def test_odd_rows(odd, empty):
     assert D.contamination(odd, []).count() == 0
     at, first, end = D.occurrences(pa.array(["", ITEMS[1], ""]), D.Phrases(ITEMS, 13, 8))
     assert (at.tolist(), first.tolist(), end.tolist()) == ([1], [0], [8])
+
+
+def test_several_blocks_of_items_give_the_same(spark, docs_of, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    items = [" ".join(rng.choice("abcdef") + str(rng.randrange(3)) for _ in range(rng.randrange(13, 30))) for _ in range(12)]
+    items += [" ".join([*items[0].split()[-13:], *items[1].split()[:9]])]  # of two blocks, overlapping
+    spark.createDataFrame([(i, t) for i, t in enumerate([*items, items[0], None])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"é — start {rng.choice(items)} mid {items[0]} {items[1]} end") for i in range(10)] + [(3, items[2]), (4, None), (5, "clean")]
+    docs = docs_of(rows).selectExpr("*", "1 as spans", "2 as text_hash")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    results = []
+    for most in (D.ITEM_BYTES, 200):
+        monkeypatch.setattr(D, "ITEM_BYTES", most)
+        assert (len(list(D.item_blocks(spark, str(tmp_path)))) > 3) == (most == 200)
+        results.append((sorted(map(tuple, D.op2_benchmark_decontamination(spark, str(tmp_path)).collect())), sorted((r.doc_id, r.text or "", r.n_chars or 0) for r in D.stage(spark, docs, str(tmp_path)).collect())))
+    assert results[0] == results[1] and len(results[0][0]) > 10
