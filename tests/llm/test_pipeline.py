@@ -43,3 +43,15 @@ def test_planted_cases(spark, docs_of, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in final} == {1, 3, 5, 6, 7}
     assert sum(r.length for r in final) == sum(len(t.split()) for t in clean.values() if t) and all(r.at + r.length <= packing.CAPACITY for r in final)
+
+
+def test_odd_empty_and_no_tables_to_learn_from(spark, odd, docs_of, tmp_path):
+    odd = odd.selectExpr("*", "1 as gone", "2 as __gone", "3 as row_id", "4 as text_hash", "5 as nth", "6 as spans")
+    for name, docs in (("odd", odd), ("empty", docs_of([]))):
+        there = tmp_path / name
+        docs.write.parquet(str(there / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(there / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(there / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(there)).collect()
+        assert {r.doc_id for r in out} == (set() if name == "empty" else {4, 5, 7, 8, 9})
+        assert len({r.text_hash for r in out if r.doc_id == 8}) == 2 * (name == "odd")
