@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ragloom.llm import decontam, linededup, minhash, packing, toxicity
-from ragloom.llm.shared import cut, table
+from ragloom.llm.shared import discard, scratch, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -25,6 +25,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        with scratch(spark) as cut:
+            done = cut(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(docs)
+        docs = done
     return docs
