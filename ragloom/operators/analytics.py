@@ -200,3 +200,14 @@ def perfect_streaks(history: DataFrame, runs: int = 5) -> DataFrame:
     numbered = history.withColumn("back", F.row_number().over(back))
     recent = numbered.where(F.col("back") <= runs).groupBy("record_id").agg(F.count("*").alias("n"), F.min("overall").alias("least"))
     return recent.where((F.col("n") == runs) & (F.col("least") >= 1.0)).select("record_id")
+
+
+def intent_rates(points: DataFrame) -> DataFrame:
+    """required, n, rate: how many intent points (required, covered) there are of each kind, and the share that is covered."""
+    return points.groupBy("required").agg(F.count("*").alias("n"), F.avg(F.col("covered").cast("double")).alias("rate"))
+
+
+def coverage_disagreements(results: DataFrame, coverage: str = "intent_coverage") -> DataFrame:
+    """record_id, kind of results whose coverage (a column) is low with a high overall score, or high with a low one."""
+    low, high = (F.col(coverage) < 0.7) & (F.col("overall") > 0.8), (F.col(coverage) > 0.9) & (F.col("overall") < 0.7)
+    return results.where(low | high).select("record_id", F.when(low, "covers_less").otherwise("covers_more").alias("kind"))

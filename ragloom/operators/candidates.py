@@ -16,9 +16,14 @@ def entities(chunks: DataFrame) -> DataFrame:
 
 
 def bridges(found: DataFrame, least_docs: int = 2) -> DataFrame:
-    """entity, display (first spelling), chunk_ids, doc_ids of entities in several documents, most documents first."""
-    grouped = found.groupBy("entity").agg(F.min_by("display", F.struct("ord", "pos")).alias("display"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
-    return grouped.where(F.size("doc_ids") >= least_docs).withColumn("n_docs", F.size("doc_ids").cast("long")).orderBy(F.desc("n_docs"), "entity")
+    """entity, display (first spelling), chunk_id, doc_id, n_docs: a row for each chunk of an entity that several documents have.
+
+    A common word is in most chunks, so members are rows and never one array.
+    """
+    pairs = found.groupBy("entity", "doc_id").agg(F.min(F.struct("ord", "pos", "display")).alias("first"))
+    counted = pairs.groupBy("entity").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= least_docs)
+    members = found.select("entity", "chunk_id", "doc_id").distinct()
+    return members.join(counted.select("entity", F.col("first.display").alias("display"), "n_docs"), "entity").select("entity", "display", "chunk_id", "doc_id", "n_docs")
 
 
 def cross_doc_pairs(found: DataFrame) -> DataFrame:
@@ -37,19 +42,25 @@ def round_robin(chunks: DataFrame, limit: int) -> DataFrame:
 
 
 def distractors(targets: DataFrame, chunks: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """chunk_id, distractor: k chunks of other documents for each target, in the order of a hash.
+    """chunk_id, distractor, k (its rank): k chunks of other documents for each target, drawn for each by hashes of its own.
 
-    Each document offers its chunks of smallest hash; a target takes the k first of the other documents. As k + 1
-    documents always hold k chunks of others, only the chunks of the documents with the smallest hashes are needed,
-    and those few are what every target meets.
+    Chunks lie in slots of about ``16 k`` by a hash, and a target looks into a slot of its own, so that no target meets all
+    chunks and each has others. Where a slot has too few of other documents, the chunks of smallest hash of k + 1 documents
+    make up for it, of which at least k are of others (if there are so many documents).
     """
-    h = F.sha2(F.concat_ws("|", F.lit(seed), "chunk_id"), 256)
-    hashed = chunks.select("chunk_id", "doc_id", h.alias("h"))
+    n = max(1, chunks.count() // (16 * k))
+    h = lambda *parts: F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256)
+    slot = lambda *parts: F.conv(F.substring(h(*parts), 1, 8), 16, 10).cast("long") % n
+    asked = targets.select("chunk_id", "doc_id", slot(F.lit("t"), "chunk_id").alias("slot"))
+    held = chunks.select(F.col("chunk_id").alias("distractor"), F.col("doc_id").alias("other"), slot(F.lit("c"), "chunk_id").alias("slot"))
+    drawn = asked.join(held, "slot").where("doc_id <> other").select("chunk_id", "distractor", F.lit(0).alias("turn"), h("chunk_id", "distractor").alias("h"))
+    hashed = chunks.select("chunk_id", "doc_id", h("chunk_id").alias("h"))
     kept = hashed.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).where(F.col("r") <= k)
     docs = kept.groupBy("doc_id").agg(F.min("h").alias("m")).orderBy("m").limit(k + 1)
-    few = kept.join(F.broadcast(docs), "doc_id").select(F.col("chunk_id").alias("distractor"), F.col("doc_id").alias("other"), "h")
-    met = targets.select("chunk_id", "doc_id").crossJoin(F.broadcast(few)).where("doc_id <> other")
-    return met.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("h"))).where(F.col("k") <= k).select("chunk_id", "distractor", "k")
+    few = kept.join(F.broadcast(docs), "doc_id").select(F.col("chunk_id").alias("distractor"), F.col("doc_id").alias("other"), "h")  # k (k + 1) rows at most
+    spare = targets.select("chunk_id", "doc_id").crossJoin(F.broadcast(few)).where("doc_id <> other").select("chunk_id", "distractor", F.lit(1).alias("turn"), "h")
+    both = drawn.unionByName(spare).groupBy("chunk_id", "distractor").agg(F.min(F.struct("turn", "h")).alias("by"))
+    return both.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("by", "distractor"))).where(F.col("k") <= k).select("chunk_id", "distractor", "k")
 
 
 def compound_pairs(records: DataFrame) -> DataFrame:

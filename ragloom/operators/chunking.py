@@ -1,15 +1,16 @@
 """Documents to chunks.
 
-Splitting and counting are column expressions. Packing units into windows is a sequential fold; it runs in an
-Arrow-batched function, linear in the number of units, as the fold over arrays in the JVM would copy what it has at every step.
+A text is split into units, its units are counted and packed into windows in one Arrow-batched pass, linear in the text: the
+fold over windows is sequential, and the JVM's functions on arrays would evaluate the split once for each use of it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
@@ -37,59 +38,69 @@ def pack(units: list[str], sizes: list[int], size: int, overlap: int, joiner: st
     return out
 
 
-def _packed(size: int, overlap: int, joiner: str) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for units, sizes in batches:
-            yield pd.Series([pack(list(u), [int(n) for n in s], size, overlap, joiner) for u, s in zip(units, sizes, strict=True)])
+_BLANKS = " \t\n\x0b\f\r"
+_SENTENCES, _PARAGRAPHS = re.compile(T.SENTENCE_BREAK, re.A), re.compile(T.PARAGRAPH_BREAK, re.A)
 
-    return run
+Counter = Callable[[str], int]
 
 
-def _sized(units: Column) -> Column:
-    return F.transform(units, T.count_tokens)
+def pieces(text: str, pattern: re.Pattern) -> list[str]:
+    """What ``T.pieces`` gives for the pattern."""
+    return [p for part in pattern.split(text.strip(_BLANKS)) if (p := part.strip(_BLANKS))]
 
 
-def chunk_texts(text: Column | str, strategy: str = "auto", size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """An array of chunk texts by one of the strategies auto, sentences, paragraphs."""
-    large = lambda p: T.count_tokens(p) > size
-    if strategy == "sentences":
-        units = T.sentences(text)
-        return _packed(size, overlap, " ")(units, _sized(units))
-    if strategy == "auto":
-        units = F.flatten(F.transform(T.paragraphs(text), lambda p: F.when(large(p), T.sentences(p)).otherwise(F.array(p))))
-        return _packed(size, overlap, "\n\n")(units, _sized(units))
-    raise ValueError(f"unknown strategy {strategy!r}")
+def _sentence_windows(text: str, size: int, overlap: int, count: Counter, joiner: str = " ") -> list[str]:
+    units = pieces(text, _SENTENCES)
+    return pack(units, [count(u) for u in units], size, overlap, joiner)
 
 
-def chunks(docs: DataFrame, strategy: Callable[[str], list[str]] | str = "auto", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def _auto(text: str, size: int, overlap: int, count: Counter) -> list[str]:
+    units, sizes = [], []
+    for p in pieces(text, _PARAGRAPHS):
+        n = count(p)
+        parts = [p] if n <= size else pieces(p, _SENTENCES)
+        units += parts
+        sizes += [n] if n <= size else [count(u) for u in parts]
+    return pack(units, sizes, size, overlap, "\n\n")
+
+
+def _by_paragraph(text: str, size: int, overlap: int, count: Counter) -> list[str]:
+    """Small paragraphs are chunks, large ones are packed by sentence."""
+    out = []
+    for p in pieces(text, _PARAGRAPHS):
+        out += [p] if count(p) <= size else _sentence_windows(p, size, overlap, count)
+    return out
+
+
+STRATEGIES = {"auto": _auto, "sentences": _sentence_windows, "paragraphs": _by_paragraph}
+
+
+def last_documents(docs: DataFrame, order: str) -> DataFrame:
+    """Of documents that share an id the last by the column ``order``."""
+    return docs.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), order).alias("d")).select("d.*")
+
+
+def chunks(docs: DataFrame, strategy: Callable[[str], list[str]] | str = "auto", size: int = SIZE, overlap: int = OVERLAP, count: Counter | None = None, order: str | None = None) -> DataFrame:
     """chunk_id, doc_id, index, text, token_count of docs (doc_id, text).
 
-    A strategy may also be a function from text to a list of texts. Blank chunks are left out and keep their index.
+    A strategy may also be a function from text to a list of texts, and count one from text to its number of tokens (words
+    and signs without one). Blank chunks are left out and keep their index. Ids of chunks are as distinct as those of documents;
+    with order, the name of a column, the last document of an id wins. Null texts have no chunks.
     """
-    if callable(strategy):
-        own = strategy
-
-        @F.pandas_udf("array<string>")
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: list(own(t)))
-
-        rows = docs.select("doc_id", F.posexplode(run("text")).alias("index", "text"))
-    elif strategy == "paragraphs":
-        # Small paragraphs are chunks, large ones are packed by sentence: places first, then the pieces of each place.
-        paras = docs.select("doc_id", F.posexplode(T.paragraphs("text")).alias("p", "para"))
-        units = T.sentences("para")
-        packed = _packed(size, overlap, " ")(units, _sized(units))
-        # Two branches, so that only large paragraphs reach Python.
-        sized = paras.withColumn("n", T.count_tokens("para"))
-        small = sized.where(F.col("n") <= size).select("doc_id", "p", F.lit(0).alias("q"), F.col("para").alias("text"))
-        big = sized.where(F.col("n") > size).select("doc_id", "p", F.posexplode(packed).alias("q", "text"))
-        one = F.array_sort(F.collect_list(F.struct("p", "q", "text")))
-        rows = small.unionByName(big).groupBy("doc_id").agg(one.alias("all")).select("doc_id", F.posexplode("all").alias("index", "x")).select("doc_id", "index", F.col("x.text").alias("text"))
-    else:
-        rows = docs.select("doc_id", F.posexplode(chunk_texts("text", strategy, size, overlap)).alias("index", "text"))
+    if not callable(strategy) and strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    own, count = strategy, count or T.counted
+
+    @F.pandas_udf("array<struct<text:string,token_count:long>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        split = own if callable(own) else lambda t: STRATEGIES[own](t, size, overlap, count)
+        for texts in batches:
+            yield pd.Series([[] if t is None else [{"text": c, "token_count": count(c)} for c in split(t)] for t in texts])
+
+    docs = last_documents(docs, order) if order else docs
+    rows = docs.select("doc_id", F.posexplode(run(F.col("text"))).alias("index", "c")).select("doc_id", "index", "c.text", "c.token_count")
     rows = rows.where(T.strip("text") != "")
-    return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("#chunk"), F.col("index")).alias("chunk_id"), "doc_id", "index", "text", T.count_tokens("text").alias("token_count"))
+    return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("#chunk"), F.col("index")).alias("chunk_id"), "doc_id", "index", "text", "token_count")
 
 
 def passages(docs: DataFrame) -> DataFrame:

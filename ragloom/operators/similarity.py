@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Vectors in one block of the pair grid.
 BLOCK = 2048
-#: Rows up to which neighbours are searched against a broadcast copy.
-BROADCAST_ROWS = 200_000
 
 
 def _blocks(vectors: DataFrame) -> tuple[DataFrame, int]:

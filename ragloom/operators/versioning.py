@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import scalars as S
@@ -31,12 +31,14 @@ def stale_summary(records: DataFrame, found: DataFrame) -> DataFrame:
 def reviewed(records: DataFrame, review: DataFrame) -> DataFrame:
     """Records after review (id, reviewer_verdict, reviewer_notes): rejected ones go, edited ones take the notes as their gold answer.
 
-    Other verdicts, unknown ids and blank notes change nothing; of several rows on a record a rejection counts first, then the last edit by its notes.
+    Other verdicts, unknown ids and blank notes change nothing; of several rows on a record a rejection counts first, then the
+    last edit, by the column ord where the review has one (files are read with it), else by its notes.
     """
     verdict = F.lower(T.strip(F.coalesce("reviewer_verdict", F.lit(""))))
     notes = T.strip(F.coalesce("reviewer_notes", F.lit("")))
-    r = review.select(F.col("id").alias("record_id"), verdict.alias("v"), notes.alias("notes"))
-    one = r.groupBy("record_id").agg(F.bool_or(F.col("v") == "reject").alias("gone"), F.max(F.when((F.col("v") == "edit") & (F.col("notes") != ""), F.col("notes"))).alias("edit"))
+    order = F.col("ord") if "ord" in review.columns else F.lit(0)
+    r = review.select(F.col("id").alias("record_id"), verdict.alias("v"), notes.alias("notes"), order.alias("ord"))
+    one = r.groupBy("record_id").agg(F.bool_or(F.col("v") == "reject").alias("gone"), F.max(F.when((F.col("v") == "edit") & (F.col("notes") != ""), F.struct("ord", "notes")))["notes"].alias("edit"))
     joined = records.join(one, "record_id", "left").where(~F.coalesce("gone", F.lit(False)))
     return joined.withColumn("gold_answer", F.coalesce("edit", "gold_answer")).drop("gone", "edit")
 
@@ -54,6 +56,7 @@ def review_log(records: DataFrame, review: DataFrame, version: str = "1.0.0") ->
 
 
 def added(records: DataFrame, more: DataFrame) -> DataFrame:
+    """Both, repeated ids included: what is added is never looked up first."""
     return records.unionByName(more)
 
 
@@ -77,3 +80,12 @@ def answered(prompts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame
     keyed = prompts.withColumn("key", S.cache_key("model", "temperature", "prompt"))
     known = keyed.join(cache.select("key", "response"), "key")
     return known, keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Column ord from 0 in the order of an integer key without gathering all rows in one task: slots of keys are counted, then numbered inside."""
+    slot: Column = F.floor(F.col(key) / 65_536)
+    sizes = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    before = sizes.select("slot", (F.sum("n").over(Window.orderBy("slot")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("slot").orderBy(key)) - 1
+    return rows.withColumn("slot", slot).withColumn("inside", inside).join(before, "slot").withColumn("ord", (F.col("before") + F.col("inside")).cast("long")).drop("slot", "inside", "before")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ragloom import config
 from ragloom.functions import scalars as S
 from ragloom.functions import text as T
+from ragloom.functions.tokens import bpe_tokens
 from ragloom.operators import analytics as A
 from ragloom.operators import calibration, candidates, chunking, compare, costs, noise, quality, retrieval, sampling, scoring, similarity, versioning
-from ragloom.plans import evaluate
+from ragloom.plans import evaluate, rag
 from ragloom.plans import views as V
 from ragloom.sources import readers
 
@@ -200,13 +201,12 @@ def intent_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query("select l_returnflag = 'R' as required, count(*) as n, round(avg((l_linestatus = 'F')::int), 6) as rate from lineitem group by all")
 def intent_rates(spark: SparkSession, d: str) -> DataFrame:
     items = V.table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").alias("required"), (F.col("l_linestatus") == "F").alias("covered"))
-    return rounded(items.groupBy("required").agg(F.count("*").alias("n"), F.avg(F.col("covered").cast("double")).alias("rate")))
+    return rounded(A.intent_rates(items))
 
 
 @query(f"with {_RES} select record_id, case when chunk_recall < 0.7 and overall > 0.8 then 'covers_less' else 'covers_more' end as kind from results where (chunk_recall < 0.7 and overall > 0.8) or (chunk_recall > 0.9 and overall < 0.7)")
 def coverage_score_disagreement(spark: SparkSession, d: str) -> DataFrame:
-    low, high = (F.col("chunk_recall") < 0.7) & (F.col("overall") > 0.8), (F.col("chunk_recall") > 0.9) & (F.col("overall") < 0.7)
-    return V.results(spark, d).where(low | high).select("record_id", F.when(low, "covers_less").otherwise("covers_more").alias("kind"))
+    return A.coverage_disagreements(V.results(spark, d), "chunk_recall")
 
 
 # == comparing runs
@@ -229,10 +229,10 @@ def flipped_records(spark: SparkSession, d: str) -> DataFrame:
     return compare.flips(V.results(spark, d, 2), V.results(spark, d))
 
 
-@query(f"""with {_RES2}, h as (select record_id, 1 as run, overall from results union all select record_id, 2, overall from results2)
+@query(f"""with {_RES2}, h as (select record_id, 1 as run, correctness as overall from results union all select record_id, 2, correctness from results2)
 select record_id from h group by record_id having count(*) = 2 and min(overall) >= 1.0""")
 def perfect_streaks(spark: SparkSession, d: str) -> DataFrame:
-    history = [V.results(spark, d, r).select("record_id", F.lit(r).alias("run"), "overall") for r in (1, 2)]
+    history = [V.results(spark, d, r).select("record_id", F.lit(r).alias("run"), F.col("correctness").alias("overall")) for r in (1, 2)]
     return A.perfect_streaks(history[0].unionByName(history[1]), 2)
 
 
@@ -269,9 +269,10 @@ def standard_retrieval(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_SCORES} select c.record_id, c.rank from ctx c join whole w using (record_id) where not set_recall and c.record_id not in ('src0', 'src10') and c.c <> '' and not exists (select 1 from hits h where h.record_id = c.record_id and h.rank = c.rank)""")
 def discovered_alternatives(spark: SparkSession, d: str) -> DataFrame:
     gold, contexts = V.gold(spark, d), V.contexts(spark, d)
-    scores = retrieval.retrieval_scores(V.sources(spark, d), gold, contexts)
+    hits = retrieval.matches(gold, contexts).persist()  # numbers only; lost blocks are computed again
+    scores = retrieval.retrieval_scores(V.sources(spark, d), gold, contexts, hits)
     results = scores.withColumn("overall", F.lit(0.9)).withColumn("unanswerable", F.col("record_id").isin("src0", "src10"))
-    return retrieval.discovered(results, gold, contexts).select("record_id", "rank")
+    return retrieval.discovered(results, gold, contexts, hits=hits).select("record_id", "rank")
 
 
 # == text, chunks
@@ -292,22 +293,27 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", T.count_tokens("text").alias("tokens"))
 
 
-_PACK = """with recursive s as (select doc_id, pos, piece, {count} as n, count(*) over (partition by doc_id) as m from (select doc_id, unnest({units}) as piece, generate_subscripts({units}, 1) as pos from documents)),
+_PACK = """with recursive s as (select doc_id, pos, piece, {count} as n, count(*) over (partition by doc_id) as m from (select doc_id, unnest({units}) as piece, generate_subscripts({units}, 1) as pos from {source})),
 w as (select doc_id, pos, n as held, 0 as idx, m from s where pos = 1 union all select s.doc_id, s.pos, case when w.held + s.n > {size} then s.n else w.held + s.n end, case when w.held + s.n > {size} then w.idx + 1 else w.idx end, s.m from w join s on s.doc_id = w.doc_id and s.pos = w.pos + 1)
 select w.doc_id, w.idx as index, string_agg(s.piece, {joiner} order by w.pos) as text from w join s using (doc_id, pos) group by all"""
 
 
-@query(_PACK.format(count=_COUNT.format("piece"), units=_SENT, size=128, joiner="' '"))
+@query(_PACK.format(count=_COUNT.format("piece"), units=_SENT, size=128, joiner="' '", source="documents"))
 def chunk_sentences(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(V.table(spark, d, "documents"), "sentences", 128, 0).select("doc_id", "index", "text")
 
 
-_AUTO = rf"case when {_COUNT.format('text')} > 128 then {_SENT} else [regexp_replace(text, '^\s+|\s+$', '', 'g')] end"
+_PARAS = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n\s*\n+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"""
+_SPACED = "(select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents)"
+_SPLIT = f"case when {_COUNT.format('text')} > 128 then {_SENT} else [text] end"
+#: Units of each paragraph, then all of a document in order.
+_AUTO = f"""(select doc_id, list(u order by p, k) as us from (select doc_id, p, unnest(us) as u, generate_subscripts(us, 1) as k from (select doc_id, p, {_SPLIT} as us from
+    (select doc_id, unnest({_PARAS}) as text, generate_subscripts({_PARAS}, 1) as p from {_SPACED}))) group by doc_id)"""
 
 
-@query(_PACK.format(count=_COUNT.format("piece"), units=_AUTO, size=128, joiner="chr(10) || chr(10)"))
+@query(_PACK.format(count=_COUNT.format("piece"), units="us", size=128, joiner="chr(10) || chr(10)", source=_AUTO))
 def chunk_auto(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(V.table(spark, d, "documents"), "auto", 128, 0).select("doc_id", "index", "text")
+    return chunking.chunks(V.paragraph_documents(spark, d), "auto", 128, 0).select("doc_id", "index", "text")
 
 
 @query()
@@ -315,9 +321,16 @@ def chunk_auto_overlap(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(V.table(spark, d, "documents"), "auto")
 
 
-@query(_PACK.format(count=_COUNT.format("piece"), units=_AUTO, size=128, joiner="' '"))
+_EACH = f"(select doc_id * 100000 + unnest(range(1, len({_PARAS}) + 1)) as doc_id, unnest({_PARAS}) as text from {_SPACED})"
+
+
+@query(
+    "select doc_id // 100000 as doc_id, row_number() over (partition by doc_id // 100000 order by doc_id, index) - 1 as index, text from ("
+    + _PACK.format(count=_COUNT.format("piece"), units=_SPLIT, size=128, joiner="' '", source=_EACH)
+    + ")"
+)
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(V.table(spark, d, "documents"), "paragraphs", 128, 0).select("doc_id", "index", "text")
+    return chunking.chunks(V.paragraph_documents(spark, d), "paragraphs", 128, 0).select("doc_id", "index", "text")
 
 
 _HTML = r"regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->', '', 'g')"
@@ -412,19 +425,21 @@ def topk_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 # == candidates
 
-_ENT = r"""with found as (select 'c' || doc_id as chunk_id, source as doc_id, doc_id as ord, e.pos, e.display, lower(e.display) as entity from documents, lateral (select unnest(es) as display, generate_subscripts(es, 1) - 1 as pos
+_ENT = r"""with pieces as (select 'c' || doc_id || '-' || i as chunk_id, source as doc_id, doc_id * 100000 + i as ord, substr(text, 1 + 2000 * i, 2000) as text from (select *, unnest(generate_series(0, greatest(0, (length(text) - 1) // 2000))) as i from documents)),
+found as (select chunk_id, doc_id, ord, e.pos, e.display, lower(e.display) as entity from pieces, lateral (select unnest(es) as display, generate_subscripts(es, 1) - 1 as pos
     from (select list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {'p': list_position(ws, w), 'w': w})), lambda x: x.w)[1:5] as es from (select list_filter(regexp_split_to_array(substr(text, 1, 2000), '[^\p{L}]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')) as ws))) e)"""
 
 
 @query(f"{_ENT} select entity, arg_min(display, ord * 100 + pos) as display, count(distinct chunk_id) as n_chunks, count(distinct doc_id) as n_docs from found group by entity having count(distinct doc_id) >= 2")
 def bridge_entities(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.bridges(candidates.entities(V.chunk_rows(spark, d))).select("entity", "display", F.size("chunk_ids").alias("n_chunks"), "n_docs")
+    members = candidates.bridges(candidates.entities(V.piece_rows(spark, d)))
+    return members.groupBy("entity", "display", "n_docs").agg(F.count("*").alias("n_chunks"))
 
 
 @query(f"""{_ENT}, firsts as (select entity, doc_id, min(ord) as ord from found group by all), ranked as (select *, row_number() over (partition by entity order by ord, doc_id) as k from firsts)
-select entity, 'c' || max(ord) filter (where k = 1) as chunk_a, 'c' || max(ord) filter (where k = 2) as chunk_b from ranked where k <= 2 group by entity having count(*) = 2""")
+select entity, max('c' || ord // 100000 || '-' || ord % 100000) filter (where k = 1) as chunk_a, max('c' || ord // 100000 || '-' || ord % 100000) filter (where k = 2) as chunk_b from ranked where k <= 2 group by entity having count(*) = 2""")
 def cross_doc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.cross_doc_pairs(candidates.entities(V.chunk_rows(spark, d)))
+    return candidates.cross_doc_pairs(candidates.entities(V.piece_rows(spark, d)))
 
 
 @query("select 'c' || doc_id as chunk_id from (select doc_id, source, row_number() over (partition by source order by doc_id) as turn from documents) order by turn, source limit 70")
@@ -433,8 +448,12 @@ def stratified_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with c as (select 'c' || doc_id as chunk_id, source as doc_id, sha256('0|c' || doc_id) as h from documents),
-kept as (select *, row_number() over (partition by doc_id order by h) as r from c qualify r <= 2), few as (select * from kept where doc_id in (select doc_id from kept group by doc_id order by min(h) limit 3))
-select c.chunk_id, f.chunk_id as distractor, row_number() over (partition by c.chunk_id order by f.h) as k from c join few f on c.doc_id <> f.doc_id qualify k <= 2""")
+n as (select greatest(1, count(*) // 32) as n from documents), slots as (select chunk_id, doc_id, ('0x' || substr(sha256('0|t|' || chunk_id), 1, 8))::ubigint % n as asks, ('0x' || substr(sha256('0|c|' || chunk_id), 1, 8))::ubigint % n as lies from c, n),
+drawn as (select a.chunk_id, b.chunk_id as distractor, 0 as turn, sha256('0|' || a.chunk_id || '|' || b.chunk_id) as h from slots a join slots b on a.asks = b.lies and a.doc_id <> b.doc_id),
+kept as (select *, row_number() over (partition by doc_id order by h) as r from c qualify r <= 2), few as (select * from kept where doc_id in (select doc_id from kept group by doc_id order by min(h) limit 3)),
+whole as (select * from drawn union all select c.chunk_id, f.chunk_id, 1, f.h from c join few f on c.doc_id <> f.doc_id),
+one as (select chunk_id, distractor, min(turn || h) as h from whole group by all)
+select chunk_id, distractor, row_number() over (partition by chunk_id order by h, distractor) as k from one qualify k <= 2""")
 def distractors(spark: SparkSession, d: str) -> DataFrame:
     chunks = V.chunk_rows(spark, d)
     return candidates.distractors(chunks, chunks, 2)
@@ -494,9 +513,10 @@ def leakage_rate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(items.join(gone, "item_id", "left").agg(F.count("*").alias("checked"), F.count("gone").alias("discarded"), (F.count("gone") / F.count("*")).alias("rate")))
 
 
-@query(f"with {_REC} select record_id from records where question_type in ('1-URGENT', '2-HIGH') and difficulty = 'easy' and noise = 'BUILDING' and domain = 'CANADA' and not unanswerable")
+@query(f"with {_REC} select record_id from records where question_type in ('1-URGENT', '2-HIGH') and difficulty = 'easy' and noise = 'BUILDING' and domain in (select n_name from nation where n_nationkey = 3) and not unanswerable")
 def filter_eval_set(spark: SparkSession, d: str) -> DataFrame:
-    wanted = {"question_type": ["1-URGENT", "2-HIGH"], "difficulty": "easy", "noise_type": ["BUILDING"], "domain_tag": "CANADA", "unanswerable": False}
+    domain = V.table(spark, d, "nation").where("n_nationkey = 3").first()["n_name"]
+    wanted = {"question_type": ["1-URGENT", "2-HIGH"], "difficulty": "easy", "noise_type": ["BUILDING"], "domain_tag": domain, "unanswerable": False}
     return quality.select(V.records(spark, d), **wanted).select("record_id")
 
 
@@ -720,13 +740,61 @@ def unlabelled_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("select o_orderkey as record_id, row_number() over (order by o_orderkey) - 1 as ord, format('eval-{:04d}', row_number() over (order by o_orderkey) - 1) as eval_id from orders where o_orderstatus = 'P'")
 def reindexed(spark: SparkSession, d: str) -> DataFrame:
     kept = V.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("record_id"))
-    return numbered(kept, "record_id").withColumn("eval_id", F.format_string("eval-%04d", "ord"))
+    return versioning.numbered(kept, "record_id").withColumn("eval_id", F.format_string("eval-%04d", "ord"))
+
+
+# == sets: additions, removals, what is unleaked
+
+
+@query("select item_id as record_id from benchmark where item_id % 5 = 0 or item_id not in (select item_id from (select item_id, "+_NORM.format("text")+" as a from benchmark) join (select "+_NORM.format("text")+" as t from documents) on contains(t, a))")
+def unleaked_records(spark: SparkSession, d: str) -> DataFrame:
+    items = V.table(spark, d, "benchmark")
+    leaked = quality.leaks(items, V.table(spark, d, "documents")).select(F.col("item_id").alias("record_id"), F.lit(True).alias("leaked")).distinct()
+    return quality.keep_unleaked(items.select(F.col("item_id").alias("record_id"), (F.col("item_id") % 5 == 0).alias("unanswerable")), leaked)[0].select("record_id")
+
+
+@query("select doc_id as record_id, toxic from labels union all select doc_id, 2 from documents where doc_id % 50 = 0")
+def added_records(spark: SparkSession, d: str) -> DataFrame:
+    more = V.table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("record_id"), F.lit(2).alias("toxic"))
+    return versioning.added(V.table(spark, d, "labels").select(F.col("doc_id").alias("record_id"), "toxic"), more)
+
+
+@query("select doc_id as record_id from documents where doc_id not in (select doc_id from labels where toxic = 1)")
+def removed_records(spark: SparkSession, d: str) -> DataFrame:
+    records = V.table(spark, d, "documents").select(F.col("doc_id").alias("record_id"))
+    return versioning.removed(records, V.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("record_id")))
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Column ord from 0 in the order of an integer key without gathering all rows in one task: slots of keys are counted, then numbered inside."""
-    slot: Column = F.floor(F.col(key) / 65_536)
-    sizes = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
-    before = sizes.select("slot", (F.sum("n").over(Window.orderBy("slot")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("slot").orderBy(key)) - 1
-    return rows.withColumn("slot", slot).withColumn("inside", inside).join(before, "slot").withColumn("ord", (F.col("before") + F.col("inside")).cast("long")).drop("slot", "inside", "before")
+@query("select source as doc_id, arg_max(text, doc_id) as text from documents group by source")
+def last_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("doc_id"), "text")
+    return chunking.last_documents(docs, "ord").select("doc_id", "text")
+
+
+@query(r"""select item_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace('Passage 1: ' || text || ' passage 22: tail ' || text, '^\s+|\s+$', '', 'g'), '(?i)passage \d+:'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')) as n,
+    regexp_replace(text, '^\s+|\s+$', '', 'g') as first from benchmark""")
+def text_passages(spark: SparkSession, d: str) -> DataFrame:
+    joined = F.concat(F.lit("Passage 1: "), F.col("text"), F.lit(" passage 22: tail "), F.col("text"))
+    return V.table(spark, d, "benchmark").select("item_id", F.size(T.passages(joined)).alias("n"), T.passages(joined)[0].alias("first"))
+
+
+@query("""with g as (select source as record_id, doc_id // 100 as grp, doc_id % 100 as pos, text from documents where doc_id % 3 = 0), found as (select source as record_id, row_number() over (partition by source order by doc_id) - 1 as k, text from documents where doc_id % 7 = 1),
+last as (select record_id, max(grp) as last from g group by 1)
+select record_id, grp, pos, text, null::varchar as chunk_id from g union all select record_id, coalesce(last, -1) + 1, k, text, 'discovered#' || record_id || '#' || k from found left join last using (record_id)""")
+def with_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    docs = V.table(spark, d, "documents")
+    gold = docs.where("doc_id % 3 = 0").select(F.col("source").alias("record_id"), F.floor(F.col("doc_id") / 100).alias("grp"), (F.col("doc_id") % 100).alias("pos"), "text")
+    found = docs.where("doc_id % 7 = 1").select(F.col("source").alias("record_id"), F.col("doc_id").alias("rank"), "text")
+    return retrieval.with_discovered(gold, found)
+
+
+@query()
+def bpe_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return V.table(spark, d, "documents").select("doc_id", bpe_tokens(F.col("text")).alias("tokens"))
+
+
+@query()
+def simple_rag_contexts(spark: SparkSession, d: str) -> DataFrame:
+    chunks = V.piece_rows(spark, d).select("chunk_id", "text")
+    questions = V.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"))
+    return rag.retrieved(questions, rag.index(chunks)).select("question_id", "rank", "chunk_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pandas as pd
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ragloom import config
 from ragloom.functions import scalars as S
-from ragloom.operators import candidates, chunking, noise, sampling, similarity
+from ragloom.operators import candidates, chunking, noise, sampling, similarity, versioning
 from ragloom.plans import providers as P
 from ragloom.plans.providers import Provider, prompt
+from ragloom.plans.rag import Embedder
 from ragloom.sources import readers
 
 _WANTED = {
@@ -35,6 +36,20 @@ class EvalSet:
     metadata: dict = field(default_factory=dict)
     hashes: str = ""
 
+    def with_added(self, more: DataFrame) -> EvalSet:
+        """The set with more records, a minor version on, and an entry in its changes."""
+        return self._changed(versioning.added(self.records, more), "add_records", "Added", [r["id"] for r in more.select("id").collect()])
+
+    def without(self, ids: list[str]) -> EvalSet:
+        """The set without the records of these ids, a minor version on, and an entry in its changes."""
+        gone = self.records.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+        return self._changed(self.records.join(gone, "id", "left_anti"), "remove_records", "Removed", list(ids))
+
+    def _changed(self, records: DataFrame, action: str, word: str, ids: list[str]) -> EvalSet:
+        version = records.sparkSession.range(1).select(S.bumped(F.lit(self.version), "minor").alias("v")).first()["v"]
+        entry = records.sparkSession.createDataFrame([(version, action, f"{word} {len(ids)} records", ids)], readers.CHANGE)
+        return replace(self, records=records, changelog=self.changelog.unionByName(entry), version=version)
+
     def head(self) -> dict:
         return {name: getattr(self, name) for name in ("tier", "metadata", "version")}
 
@@ -134,7 +149,7 @@ def _compound(n: int, chunks: DataFrame, vectors: DataFrame, provider: Provider,
     return got.select(F.lit("compound").alias("kind"), F.col("pair").alias("ord"), both("groups").alias("groups"), both("group_texts").alias("group_texts"), F.array_distinct(both("docs")).alias("docs"), F.col("q.question").alias("question"), F.col("q.gold_answer").alias("gold_answer"), both("intents").alias("intents"), F.col("q.notes").alias("notes"))
 
 
-def generate(spark: SparkSession, docs_dir: str, provider: Provider, work: str, tier: str = config.TIERS[1], size: str | int = "auto", seed: int = 0, chunk_size: int = 512, chunk_overlap: int = 64, strategy: str = "auto", pause: float = 1.0) -> EvalSet:
+def generate(spark: SparkSession, docs_dir: str, provider: Provider, work: str, tier: str = config.TIERS[1], size: str | int = "auto", seed: int = 0, chunk_size: int = 512, chunk_overlap: int = 64, strategy: str = "auto", pause: float = 1.0, embed: Embedder = similarity.hashed_embeddings) -> EvalSet:
     """Chunks, candidates, questions, noise, leakage check and records; ``work`` is a folder that all executors share."""
     settings = config.tier_config(tier)
     docs = readers.load_directory(spark, docs_dir)
@@ -146,7 +161,7 @@ def generate(spark: SparkSession, docs_dir: str, provider: Provider, work: str,
     counts = {k: n for k, n in budget(spark, tier, wanted).items() if n > 0}
     vectors = None
     if {"contradiction", "comparative"} & set(counts):
-        similarity.hashed_embeddings(chunks).write.mode("overwrite").parquet(f"{work}/vectors")
+        embed(chunks).write.mode("overwrite").parquet(f"{work}/vectors")
         vectors = spark.read.parquet(f"{work}/vectors").join(chunks.select("chunk_id", "doc_id", F.col("ord").alias("vec_id")), "chunk_id")
     cache = f"{work}/replies"
     parts = []
@@ -163,7 +178,8 @@ def generate(spark: SparkSession, docs_dir: str, provider: Provider, work: str,
     chosen = sampling.weighted_choice(asked, "id", list(settings["noise_layers"].items()), seed, "layer")
     steps = F.create_map(*[x for k, v in config.NOISE_STEPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else F.array().cast("array<string>"))])
     layered = chosen.withColumn("layers", steps[F.col("layer")])
-    noisy = noise.with_layers(layered, seed, lambda kind, text: P.complete(provider, f"TASK rewrite\n[kind] {kind}\n[text] {text}", 0.7, pause))
+    sourced = layered.withColumn("source", F.concat_ws("\n", F.flatten("group_texts")))
+    noisy = noise.with_layers(sourced, seed, lambda rows, heat: P.ask(rows, provider, cache, heat, pause)).drop("source")
     noisy = noisy.withColumn("unanswerable", F.col("kind") == "unanswerable")
     # Leakage: what a model answers without passages isn't worth asking.
     checked = P.ask(noisy.withColumn("prompt", prompt("leak", ("question", F.col("question")), ("expected", F.col("gold_answer")))), provider, cache, 0.0, pause)

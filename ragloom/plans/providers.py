@@ -106,8 +106,10 @@ class OfflineProvider:
             return json.dumps({"question": "What is said about " + " and ".join(" ".join(f.split()[:6]) for f in facts) + "?", "gold_answer": " ".join(facts), "intents": [{"text": f, "required": i == 0} for i, f in enumerate(facts)], "notes": ""})
         if task == "rewrite":
             return first("kind") + ": " + first("text")
-        if task == "entities":
+        if task in ("entities", "terms"):
             return json.dumps({"terms": list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", first("passage"))))[:5]})
+        if task == "answer":
+            return re.split(r"(?<=[.!?])\s", first("context"))[0]
         if task == "leak":
             return json.dumps({"answered": pick % 10 == 0})
         if task == "contradict":
@@ -156,6 +158,10 @@ def ask(rows: DataFrame, provider: Provider, table: str, temperature: float = 0.
     table: a folder of key, response that is read first and appended to; so calls are paid for once.
     """
     spark = rows.sparkSession
+    # Written first, as the prompts are read twice: what is asked is what replies are joined to, also if rows can't be repeated.
+    asked = f"{table}-asked/{uuid.uuid4().hex}"
+    rows.write.parquet(asked)
+    rows = spark.read.schema(rows.schema).parquet(asked)
     prompts = rows.select(F.lit(provider.name).alias("model"), F.lit(str(temperature)).alias("temperature"), "prompt").where("prompt is not null").distinct()
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

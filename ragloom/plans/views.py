@@ -93,6 +93,18 @@ def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(d.alias("id"), verdict.alias("reviewer_verdict"), F.when(d % 26 == 0, " ").otherwise(F.concat(F.lit("better "), d)).alias("reviewer_notes"))
 
 
+def piece_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, doc_id, ord, text: whole documents as chunks of 2,000 characters of their source."""
+    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.length("text") - 1) / 2000)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.explode(pieces).alias("i"))
+    return rows.select(F.concat(F.lit("c"), F.col("doc_id"), F.lit("-"), F.col("i")).alias("chunk_id"), F.col("source").alias("doc_id"), (F.col("doc_id") * 100_000 + F.col("i")).alias("ord"), F.substring(F.col("text"), (1 + 2000 * F.col("i")).cast("int"), F.lit(2000)).alias("text"))
+
+
+def paragraph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: documents whose lines are paragraphs."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+
+
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, doc_id, index, ord, text: documents as chunks of their source."""
     place = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")

@@ -173,7 +173,8 @@ def _struct(ddl: str) -> str:
 
 
 def read_review(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+    """The rows of a review with their order in it as ord."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("ord", F.monotonically_increasing_id())
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

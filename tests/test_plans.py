@@ -1,13 +1,15 @@
 import json
+import uuid
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from ragloom import api, cli, config
-from ragloom.operators import analytics, quality
+from ragloom.operators import analytics, noise, quality
 from ragloom.plans import evaluate as E
 from ragloom.plans import providers as P
+from ragloom.plans import rag
 from ragloom.sources import readers, writers
 from ragloom.streaming import resume
 
@@ -221,3 +223,62 @@ def test_other_sources(spark, tmp_path):
     assert readers.read_jsonl(spark, str(tmp_path / "j")).count() == 2
     with pytest.raises(ValueError):
         writers.joined_tables({"a": rows.where("false")})
+
+
+class Random:
+    """Rewrites differ with every call, and those of odd questions fail."""
+
+    name = "random"
+
+    def __init__(self, log):
+        self.log = log
+
+    def complete(self, prompt, temperature=0.0):
+        task = prompt.partition("\n")[0].removeprefix("TASK ")
+        with open(self.log, "a") as file:
+            file.write(task + "\n")
+        if task == "rewrite":
+            if "odd" in prompt:
+                raise OSError("down")
+            return "rewritten " + uuid.uuid4().hex
+        return '["Term"]' if task == "terms" else '{"answered": true}'
+
+
+def test_rewrites_that_differ_are_asked_once(spark, tmp_path):
+    log, cache = str(tmp_path / "log"), str(tmp_path / "cache")
+    rows = [(str(i), f"{'odd' if i % 2 else 'even'} question {i} here", ["vocab_mismatch"], "Some Term") for i in range(6)]
+    questions = spark.createDataFrame(rows, "id string, question string, layers array<string>, source string")
+    noisy = noise.with_layers(questions, 0, lambda r, heat: P.ask(r, Random(log), cache, heat, 0))
+    checked = P.ask(noisy.withColumn("prompt", F.concat(F.lit("TASK leak\n"), "noisy")), Random(log), cache, 0.0, 0).collect()
+    assert all(r.reply for r in checked)
+    assert {r.id: r.noise_profile for r in checked} == {str(i): ["clean"] if i % 2 else ["vocab_mismatch"] for i in range(6)}
+    assert all(r.noisy == r.question if int(r.id) % 2 else r.noisy.startswith("rewritten") for r in checked)
+    asked = open(log).read().split()
+    assert asked.count("rewrite") == 3 + 3 * P.TRIES and asked.count("leak") == 6 and asked.count("terms") == 1
+
+
+def test_plain_retriever(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"c{i}", f"topic{i} word{i} thing{i}. More of topic{i}.") for i in range(12)] + [("x", "")], "chunk_id string, text string")
+
+    def embed(rows):  # a dimension for each number in a text
+        number = F.regexp_extract("text", r"topic(\d+)", 1)
+        return rows.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.when(k.cast("string") == number, 1.0).otherwise(0.0).cast("float")).alias("embedding"))
+
+    indexed = rag.index(chunks, embed)
+    records = spark.createDataFrame([(f"q{i}", f"what about topic{i} word{i} thing{i}") for i in range(12)] + [("none", None)], "id string, question string")
+    out = {r.record_id: r for r in rag.run_set(records, indexed, P.OfflineProvider(), str(tmp_path / "a"), k=3, embed=embed, pause=0).collect()}
+    assert all(out[f"q{i}"].contexts[0].startswith(f"topic{i} ") and len(out[f"q{i}"].contexts) == 3 and out[f"q{i}"].answer == f"topic{i} word{i} thing{i}." for i in range(12))
+    assert out["none"].contexts == []
+    rows = rag.run_rows(spark.createDataFrame([("topic3 word3", "g")], "question string, ground_truth string"), rag.index(chunks.where("false")), P.OfflineProvider(), str(tmp_path / "b"), pause=0).collect()
+    assert [(r.ground_truth, r.contexts) for r in rows] == [("g", [])]
+
+
+def test_additions_and_removals_are_logged(spark):
+    from ragloom.plans.generate import EvalSet
+    from ragloom.sources import readers
+
+    records = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, question string")
+    held = EvalSet(records, records, spark.createDataFrame([], readers.CHANGE))
+    more = held.with_added(spark.createDataFrame([("c", "3")], "id string, question string")).without(["a", "zz"])
+    assert sorted(r.id for r in more.records.collect()) == ["b", "c"] and more.version == "1.2.0"
+    assert sorted(map(tuple, more.changelog.collect())) == [("1.1.0", "add_records", "Added 1 records", ["c"]), ("1.2.0", "remove_records", "Removed 2 records", ["a", "zz"])]
