@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in one block of the pair grid.
 BLOCK = 2048
+#: Rows of a side of a search in one group at most, and vectors that an eighth as many queries meet at once.
+SIDE, TILE = 32_768, 4096
 
 
 def _blocks(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -55,28 +59,60 @@ def top_pairs(vectors: DataFrame, least: float, n: int) -> DataFrame:
     return similar_pairs(vectors, least).orderBy(F.desc("similarity"), "vec_a", "vec_b").limit(n)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _spread(n: int) -> int:
+    """Blocks of the sides of a search: six at least where there are rows for them, so that their pairs occupy all cores."""
+    return max(1, -(-n // SIDE), min(6, -(-n // BLOCK)))
+
+
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _best(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, ids and cosines of the k nearest of v, which is met a tile at a time; only what may still be among the k is kept."""
+    at, found, value = np.empty(0, np.int64), np.empty(0, ids.dtype), np.empty(0)
+    floor = np.full(len(q), -np.inf)
+    for begin in range(0, len(v), TILE):
+        cosine = q @ v[begin : begin + TILE].astype(np.float64).T
+        if not begin and cosine.shape[1] > k:
+            floor = np.partition(cosine, -k, axis=1)[:, -k]
+        i, j = np.nonzero(cosine >= floor[:, None] - 2e-6)  # more than rounding to six digits moves a cosine
+        at, found, value = np.concatenate([at, i]), np.concatenate([found, ids[begin + j]]), np.concatenate([value, np.round(cosine[i, j], 6)])
+        order = np.lexsort((found, -value, at))
+        at, found, value = at[order], found[order], value[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        last = place == k - 1
+        floor[at[last]] = value[last]
+        at, found, value = at[place < k], found[place < k], value[place < k]
+    return at, found, value
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, sizes: tuple[int, int] | None = None) -> DataFrame:
     """query_id, vec_id, similarity, rank of the k nearest vectors of each query (query_id, embedding); ties by vec_id.
 
-    Vectors are cut into blocks that every query meets; each block gives its k best, and a window over k rows a
-    block takes the best of those.
+    Exact: both sides are cut into blocks, each pair of blocks is one group and gives its k best for each query; a window over k
+    rows a block takes the best of those. A group holds two blocks and one tile of their product, however many rows there are.
+    sizes: about how many queries and vectors there are, where counting them is as dear as computing them.
     """
-    spread, n = _blocks(vectors)
-    parts = spread.select("block", F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "embedding")
-    slots = 8
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(slots)).cast("int").alias("slot"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "embedding")
-    held = parts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).select("block", "slot", "asks", "id", "embedding")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, v = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
-        cosine = np.round(_matrix(q["embedding"]) @ _matrix(v["embedding"]).T, 6)
-        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-        ids = v["id"].to_numpy()[best]
-        return pd.DataFrame({"query_id": np.repeat(q["id"].to_numpy(), best.shape[1]), "vec_id": ids.ravel(), "similarity": np.take_along_axis(cosine, best, 1).ravel()})
-
-    found = held.unionByName(asked.select("block", "slot", "asks", "id", "embedding")).groupBy("block", "slot").applyInPandas(run, "query_id long, vec_id long, similarity double")
+    asks, has = sizes or (queries.count(), vectors.count())
+    n, m = _spread(asks), _spread(has)
+    block = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    asked = queries.select(block("query_id", n).alias("p"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "embedding").withColumn("q", every(m))
+    held = vectors.select(block("vec_id", m).alias("q"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "embedding").withColumn("p", every(n))
+
+    def run(group: pa.Table) -> pa.Table:
+        q, v = group.filter(group["asks"]), group.filter(pc.invert(group["asks"]))
+        parts = []
+        if len(q) and len(v):
+            ids, matrix, asking, sought = v["id"].to_numpy(), _rows(v["embedding"]), q["id"].to_numpy(), _rows(q["embedding"])
+            for begin in range(0, len(q), TILE // 8):
+                at, found, value = _best(sought[begin : begin + TILE // 8].astype(np.float64), ids, matrix, k)
+                parts.append(pa.table({"query_id": asking[begin + at], "vec_id": found, "similarity": value}))
+        return pa.concat_tables(parts) if parts else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+
+    columns = ["p", "q", "asks", "id", "embedding"]
+    found = held.select(columns).unionByName(asked.select(columns)).groupBy("p", "q").applyInArrow(run, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
