@@ -9,13 +9,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 
 SIZE, OVERLAP = 512, 64
+#: Characters of chunks that leave a task at once.
+HELD = 1 << 20
 
 
 def pack(units: list[str], sizes: list[int], size: int, overlap: int, joiner: str = " ") -> list[str]:
@@ -75,6 +77,26 @@ def _by_paragraph(text: str, size: int, overlap: int, count: Counter) -> list[st
 STRATEGIES = {"auto": _auto, "sentences": _sentence_windows, "paragraphs": _by_paragraph}
 
 
+def in_parts(split: Callable[[str], list[str]], count: Counter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, index, text, token_count of batches of doc_id and text; what is held of a batch is one text and some HELD characters of chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.columns
+            at, index, out, held = [], [], [], 0
+            for i in range(len(texts)):
+                parts = [] if (t := texts[i].as_py()) is None else split(t)
+                at += [i] * len(parts)
+                index += range(len(parts))
+                out += parts
+                held += sum(map(len, parts))
+                if held > HELD or i == len(texts) - 1:
+                    yield pa.record_batch([ids.take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), pa.array(out, pa.string()), pa.array(map(count, out), pa.int64())], ["doc_id", "index", "text", "token_count"])
+                    at, index, out, held = [], [], [], 0
+
+    return run
+
+
 def last_documents(docs: DataFrame, order: str) -> DataFrame:
     """Of documents that share an id the last by the column ``order``."""
     return docs.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), order).alias("d")).select("d.*")
@@ -91,14 +113,9 @@ def chunks(docs: DataFrame, strategy: Callable[[str], list[str]] | str = "auto",
         raise ValueError(f"unknown strategy {strategy!r}")
     own, count = strategy, count or T.counted
 
-    @F.pandas_udf("array<struct<text:string,token_count:long>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        split = own if callable(own) else lambda t: STRATEGIES[own](t, size, overlap, count)
-        for texts in batches:
-            yield pd.Series([[] if t is None else [{"text": c, "token_count": count(c)} for c in split(t)] for t in texts])
-
+    split = own if callable(own) else lambda t: STRATEGIES[own](t, size, overlap, count)
     docs = last_documents(docs, order) if order else docs
-    rows = docs.select("doc_id", F.posexplode(run(F.col("text"))).alias("index", "c")).select("doc_id", "index", "c.text", "c.token_count")
+    rows = docs.select("doc_id", "text").mapInArrow(in_parts(split, count), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, index int, text string, token_count long")
     rows = rows.where(T.strip("text") != "")
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("#chunk"), F.col("index")).alias("chunk_id"), "doc_id", "index", "text", "token_count")
 

@@ -372,3 +372,15 @@ def test_best_of_tiles_with_ties(spark):
     want = [np.lexsort((ids, -row))[:7] for row in cosine]
     assert at.tolist() == [i for i in range(40) for _ in range(7)] and found.tolist() == ids[np.concatenate(want)].tolist()
     assert value.tolist() == [cosine[i, j] for i in range(40) for j in want[i]]
+
+
+def test_chunks_leave_a_batch_in_parts():
+    import pyarrow as pa
+
+    texts = ["One two three four. " * 20_000, None, "", *["Five six. " * 30_000] * 9]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    split = lambda t: chunking.STRATEGIES["sentences"](t, 128, 0, lambda u: 5)
+    out = list(chunking.in_parts(split, len)(iter([batch])))
+    assert len(out) > 1 and max(sum(map(len, b["text"].to_pylist())) for b in out) <= chunking.HELD + max(len(t or "") for t in texts)
+    rows = [r for b in out for r in zip(b["doc_id"].to_pylist(), b["index"].to_pylist(), b["text"].to_pylist())]
+    assert rows == [(i, k, c) for i, t in enumerate(texts) if t is not None for k, c in enumerate(split(t))]
