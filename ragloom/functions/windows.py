@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words that are remembered by a task.
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000
 _FACTOR = 0x9E3779B97F4A7C15
 
 

@@ -384,3 +384,14 @@ def test_chunks_leave_a_batch_in_parts():
     assert len(out) > 1 and max(sum(map(len, b["text"].to_pylist())) for b in out) <= chunking.HELD + max(len(t or "") for t in texts)
     rows = [r for b in out for r in zip(b["doc_id"].to_pylist(), b["index"].to_pylist(), b["text"].to_pylist())]
     assert rows == [(i, k, c) for i, t in enumerate(texts) if t is not None for k, c in enumerate(split(t))]
+
+
+def test_containment_in_blocks_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(containment, "BLOCK", 100)
+    texts = [(i, f"{'pad ' * i}one two three four five six seven eight nine ten number {i}") for i in range(30)]
+    needles = [(i, f"ne two  three four five six seven eight nine ten NUMBER {i}") for i in range(30)] + [(99, "d one"), (98, " ")]
+    a, b = spark.createDataFrame(needles, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = {(i, d) for i in range(30) for d in range(30) if str(d).startswith(str(i))} | {(99, d) for d in range(1, 30)}
+    found = containment.contained(a, b)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
