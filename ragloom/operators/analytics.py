@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ragloom import config
 from ragloom.functions import text as T
 
+#: Parts that the sort of all runs is cut into at least.
+STREAK_PARTS = 200
 #: Means over present scores, and those that count absent ones as 0 if any is present.
 _PLAIN = ("faithfulness", "correctness", "abstention")
 _OPTIONAL = ("completeness", "conciseness")
@@ -197,7 +199,8 @@ def red_flags(records: DataFrame, verdicts: DataFrame) -> DataFrame:
 def perfect_streaks(history: DataFrame, runs: int = 5) -> DataFrame:
     """record_id of records (record_id, run, overall) that ended with that many perfect runs in a row."""
     back = Window.partitionBy("record_id").orderBy(F.desc("run"))
-    numbered = history.withColumn("back", F.row_number().over(back))
+    parts = max(STREAK_PARTS, int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered = history.repartition(parts, "record_id").withColumn("back", F.row_number().over(back))  # with a number they stay apart: packed rows joined by their bytes take a hundred times as much to sort
     recent = numbered.where(F.col("back") <= runs).groupBy("record_id").agg(F.count("*").alias("n"), F.min("overall").alias("least"))
     return recent.where((F.col("n") == runs) & (F.col("least") >= 1.0)).select("record_id")
 

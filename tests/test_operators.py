@@ -410,3 +410,8 @@ def test_matches_equal_a_nested_loop(spark, monkeypatch):
     want = sorted((r, g, p, k, norm(a) == "") for r, g, p, a in gold for s, k, b in contexts if r == s and a is not None and b is not None and (norm(a) in norm(b) or norm(b) in norm(a) or close(tokens(a), tokens(b))))
     made = spark.createDataFrame(gold, "record_id string, grp int, pos int, text string"), spark.createDataFrame(contexts, "record_id string, rank long, text string")
     assert sorted(map(tuple, retrieval.matches(*made).collect())) == want
+
+
+def test_streaks_sort_in_many_parts(spark):
+    h = spark.createDataFrame([("a", r, 1.0) for r in range(6)], "record_id string, run int, overall double")
+    assert f", {A.STREAK_PARTS}), REPARTITION_BY_NUM" in A.perfect_streaks(h)._jdf.queryExecution().executedPlan().toString()
