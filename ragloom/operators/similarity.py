@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.functions.windows import REMEMBERED
+
 #: Vectors in one block of the pair grid.
 BLOCK = 2048
 #: Rows of a side of a search in one group at most, and vectors that an eighth as many queries meet at once.
@@ -128,13 +130,18 @@ def hashed_embeddings(texts: DataFrame, dim: int = 64) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
+        memo: dict[str, int] = {}  # places of words, of those that count down after the others
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                v = np.zeros(dim)
-                for w in text.lower().split():
+                words = text.lower().split()
+                if len(memo) > REMEMBERED:
+                    memo.clear()
+                for w in set(words).difference(memo):
                     h = zlib.crc32(w.encode())
-                    v[h % dim] += 1 if h & (1 << 16) else -1
+                    memo[w] = h % dim + (0 if h & (1 << 16) else dim)
+                both = np.bincount([memo[w] for w in words], minlength=2 * dim) if words else np.zeros(2 * dim)
+                v = (both[:dim] - both[dim:]).astype(float)
                 norm = np.linalg.norm(v)
                 out.append((v / norm if norm else v).astype(np.float32).tolist())
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "embedding": out})

@@ -25,13 +25,18 @@ def index(chunks: DataFrame, embed: Embedder = similarity.hashed_embeddings) ->
     return chunks.select("chunk_id", "text").join(vectors, "chunk_id").withColumn("vec_id", F.xxhash64("chunk_id"))
 
 
-def retrieved(questions: DataFrame, indexed: DataFrame, k: int = TOP, embed: Embedder = similarity.hashed_embeddings) -> DataFrame:
-    """question_id, rank, chunk_id, text, similarity: the k nearest chunks of each question (question_id, question)."""
+def search(questions: DataFrame, vectors: DataFrame, k: int = TOP, embed: Embedder = similarity.hashed_embeddings, held: int | None = None) -> DataFrame:
+    """question_id, rank, vec_id, similarity: the k nearest vectors (vec_id, embedding) of each question (question_id, question). held: about how many vectors there are, where they are computed on the way."""
     asked = embed(questions.select(F.col("question_id").cast("string").alias("chunk_id"), F.col("question").alias("text")).where("text is not null"))
     queries = asked.select(F.xxhash64("chunk_id").alias("query_id"), "embedding")
-    found = similarity.nearest(queries, indexed.select("vec_id", "embedding"), k)
+    found = similarity.nearest(queries, vectors.select("vec_id", "embedding"), k, held and (questions.count(), held))
     named = questions.select("question_id", F.xxhash64(F.col("question_id").cast("string")).alias("query_id"))
-    return found.join(named, "query_id").join(indexed.select("vec_id", "chunk_id", "text"), "vec_id").select("question_id", "rank", "chunk_id", "text", "similarity")
+    return found.join(named, "query_id").select("question_id", "rank", "vec_id", "similarity")
+
+
+def retrieved(questions: DataFrame, indexed: DataFrame, k: int = TOP, embed: Embedder = similarity.hashed_embeddings) -> DataFrame:
+    """question_id, rank, chunk_id, text, similarity: the k nearest chunks of each question (question_id, question)."""
+    return search(questions, indexed, k, embed).join(indexed.select("vec_id", "chunk_id", "text"), "vec_id").select("question_id", "rank", "chunk_id", "text", "similarity")
 
 
 def answered(questions: DataFrame, indexed: DataFrame, provider: Provider, cache: str, k: int = TOP, embed: Embedder = similarity.hashed_embeddings, pause: float = 1.0) -> DataFrame:

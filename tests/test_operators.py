@@ -415,3 +415,27 @@ def test_matches_equal_a_nested_loop(spark, monkeypatch):
 def test_streaks_sort_in_many_parts(spark):
     h = spark.createDataFrame([("a", r, 1.0) for r in range(6)], "record_id string, run int, overall double")
     assert f", {A.STREAK_PARTS}), REPARTITION_BY_NUM" in A.perfect_streaks(h)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_embeddings_count_words_with_signs(spark):
+    import zlib
+
+    texts = ["One two two", "", "ünï one ONE x y z " * 9]
+    got = {r.chunk_id: r.embedding for r in similarity.hashed_embeddings(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, text string")).collect()}
+    for i, t in enumerate(texts):
+        v = [0.0] * 64
+        for w in t.lower().split():
+            h = zlib.crc32(w.encode())
+            v[h % 64] += 1 if h & (1 << 16) else -1
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert got[str(i)] == pytest.approx([x / norm for x in v], abs=1e-6)
+
+
+def test_search_computes_vectors_once(spark):
+    from ragloom.plans import rag
+
+    questions = spark.createDataFrame([("q", "a b c")], "question_id string, question string")
+    vectors = similarity.hashed_embeddings(spark.createDataFrame([("1", "a b c"), ("2", "d")], "chunk_id string, text string")).withColumn("vec_id", F.xxhash64("chunk_id"))
+    found = rag.search(questions, vectors, 1, held=2).join(spark.createDataFrame([("1",), ("2",)], "chunk_id string").withColumn("vec_id", F.xxhash64("chunk_id")), "vec_id")
+    assert [(r.question_id, r.chunk_id) for r in found.collect()] == [("q", "1")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 2  # questions, vectors
