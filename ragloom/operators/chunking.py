@@ -51,6 +51,24 @@ def pieces(text: str, pattern: re.Pattern) -> list[str]:
     return [p for part in pattern.split(text.strip(_BLANKS)) if (p := part.strip(_BLANKS))]
 
 
+def remembered(count: Counter) -> Counter:
+    """The same counter, which counts a text once that is a unit and then a chunk; what it remembers is some four times HELD characters."""
+    known: dict[str, int] = {}
+    held = 0
+
+    def run(text: str) -> int:
+        nonlocal held
+        if (n := known.get(text)) is None:
+            if held > 4 * HELD:
+                known.clear()
+                held = 0
+            n = known[text] = count(text)
+            held += len(text)
+        return n
+
+    return run
+
+
 def _sentence_windows(text: str, size: int, overlap: int, count: Counter, joiner: str = " ") -> list[str]:
     units = pieces(text, _SENTENCES)
     return pack(units, [count(u) for u in units], size, overlap, joiner)
@@ -111,7 +129,7 @@ def chunks(docs: DataFrame, strategy: Callable[[str], list[str]] | str = "auto",
     """
     if not callable(strategy) and strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
-    own, count = strategy, count or T.counted
+    own, count = strategy, remembered(count or T.counted)
 
     split = own if callable(own) else lambda t: STRATEGIES[own](t, size, overlap, count)
     docs = last_documents(docs, order) if order else docs

@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import re
@@ -462,3 +463,19 @@ def test_normal_contexts_are_split_as_columns_are(spark):
     text = "  A\u00a0b \x1c c\x0bd\te\x85 \u2003\u0130 \n"
     lower, normal = spark.createDataFrame([(text,)], "text string").select(F.lower("text"), T.normal("text")).first()
     assert b" ".join(lower.encode().split()) == normal.encode()
+
+
+def test_texts_are_counted_once(monkeypatch):
+    monkeypatch.setattr(chunking, "HELD", 100)
+    asked = []
+    count = chunking.remembered(lambda t: asked.append(t) or T.counted(t))
+    text = "\n\n".join(f"Paragraph {i} is small." for i in range(9))
+    parts = chunking.STRATEGIES["paragraphs"](text, 128, 0, count)
+    assert [count(p) for p in parts] == [T.counted(p) for p in parts] and asked == parts
+    assert [count(f"{i} " * 40) for i in range(50)] == [40] * 50  # also when what is known is let go
+    assert len(inspect.getclosurevars(count).nonlocals["known"]) < 20
+
+
+def test_count_of_ascii(spark):
+    text = "".join(map(chr, range(1, 128))) + " a_b c1\x1cd\x0be"
+    assert T.counted(text) == len(T._TOKEN.findall(text)) == column(spark, text, T.count_tokens("text"))
