@@ -43,3 +43,8 @@ def test_query(spark, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_texts_of_retrieval_summary_stay_where_they_are_read(spark):
+    plan = catalog.QUERIES["retrieval_summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroups" not in plan
