@@ -48,3 +48,8 @@ def test_contract(spark):
 def test_texts_of_retrieval_summary_stay_where_they_are_read(spark):
     plan = catalog.QUERIES["retrieval_summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "CoGroups" not in plan
+
+
+def test_texts_of_standard_retrieval_stay_where_they_are_read(spark):
+    plan = catalog.QUERIES["standard_retrieval"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroups" not in plan
