@@ -474,6 +474,10 @@ def test_contexts_of_too_many_tokens_are_not_cut_whole():
     assert peak([b"of some ten words"], " ".join(f"ñ{i}" for i in range(20_000)).encode()) < 12
 
 
+def test_contexts_without_a_golds_rare_words_are_not_compared():
+    assert peak([b"of one rare1 rare22 rare333 end"], " ".join(["rare333", *(f"w{i}" for i in range(20_000))]).encode()) < 12
+
+
 def test_normal_contexts_are_split_as_columns_are(spark):
     text = "  A\u00a0b \x1c c\x0bd\te\x85 \u2003\u0130 \n"
     lower, normal = spark.createDataFrame([(text,)], "text string").select(F.lower("text"), T.normal("text")).first()
